@@ -1,0 +1 @@
+"""Empty on purpose: every job rebuilt here reads bounded input, so there is no streaming operator."""
