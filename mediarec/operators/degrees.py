@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from mediarec.operators.skew import HOT_ROWS, hot_key_join
 from mediarec.operators.staging import stage
@@ -109,14 +109,17 @@ def core_keys(pairs: DataFrame, min_per_user: int, min_per_item: int,
                 items = _items(failed) if items is None else items.union(_items(failed))
                 n_users, n_items = n_users + nu, n_items + ni
             alive = _without(base, users, n_users, items, n_items)
-        degrees = stage(_both_degrees(alive), "degrees")
-        done += 1
-        stats = degrees.agg(
+        # The counts ride on the write of the table; no second job reads it.
+        seen = Observation()
+        degrees = stage(_both_degrees(alive).observe(
+            seen,
             F.count_if(low & (F.col("side") == 0)).alias("users"),
             F.count_if(low & (F.col("side") == 1)).alias("items"),
             F.coalesce(F.sum(F.when(low, F.col("n"))), F.lit(0)).alias("cut"),
             F.coalesce(F.sum(F.when(F.col("side") == 0, F.col("n"))), F.lit(0)).alias("rows"),
-        ).first()
+        ), "degrees")
+        done += 1
+        stats = seen.get
         failing = stats["users"] + stats["items"]
         if done == rounds or not failing:
             kept = degrees.where(~low)

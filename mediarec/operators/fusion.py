@@ -219,7 +219,7 @@ def _ridge_loss(gram: np.ndarray, x: np.ndarray, n_out: int, w: np.ndarray) -> f
     rows = gram[x[-1], x[-1]]
     sq = (np.trace(gram[np.ix_(y, y)]) - 2 * (w * gram[np.ix_(x, y)]).sum()
           + (w * (gram[np.ix_(x, x)] @ w)).sum())
-    return max(float(sq), 0.0) / (rows * n_out) if rows else math.nan
+    return max(float(sq), 0.0) / float(rows * n_out) if rows else math.nan
 
 
 def _ridge_grams(train: DataFrame, valid: DataFrame, cfg: FusionConfig):
