@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mediarec.operators.skew import HOT_ROWS, hot_key_join
+from mediarec.operators.staging import stage
 
 FRAME = 160_000  # fixed value: ten seconds at 16 kHz
 
@@ -87,5 +88,6 @@ def power_normalize(df: DataFrame, id_col: str, x: str, target: float = 1.0,
     Power is aggregated and joined back, so a long clip is spread over tasks.
     """
     gain = F.sqrt(F.try_divide(F.lit(float(target)), F.col("power")))
-    return hot_key_join(df, signal_power(df, id_col, x), id_col, "n", hot_rows).withColumn(
+    power = stage(signal_power(df, id_col, x), "power")
+    return hot_key_join(df, power, id_col, "n", hot_rows).withColumn(
         x, F.col(x).cast("double") * gain).drop("power", "n")

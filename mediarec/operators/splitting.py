@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mediarec.config import CATEGORIES, SplitConfig
 from mediarec.operators.skew import HOT_ROWS, hot_key_join
+from mediarec.operators.staging import stage
 
 # Buckets in which a category is cut down first, so that no task sorts a whole category.
-CAP_BUCKETS = 256
+CAP_BUCKETS = 64
 
 
 def balance_by_category(meta: DataFrame, categories: Iterable[str] = CATEGORIES,
@@ -73,26 +74,35 @@ def day_bucket(day: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 100
 
 
+def _warm_label(day: Column, seed: int) -> Column:
+    bucket = day_bucket(day, seed)
+    return F.when(bucket < 10, "test").when(bucket < 19, "valid").otherwise("train")
+
+
 def warm_split(train_days: DataFrame, seed: int = 42) -> DataFrame:
     """Deal the train days out: 10 % warm test, 9 % warm valid, the rest warm train."""
-    bucket = day_bucket(F.col("upload_ds"), seed)
-    split = F.when(bucket < 10, "test").when(bucket < 19, "valid").otherwise("train")
-    return (train_days.withColumn("split", split)
+    return (train_days.withColumn("split", _warm_label(F.col("upload_ds"), seed))
             .withColumn("wc_split", F.concat(F.lit("w_"), "split")))
 
 
 def split_days(days: DataFrame, cfg: SplitConfig = SplitConfig()) -> DataFrame:
     """(`upload_ds`, `split`, `wc_split`) for every day: cold valid and test, warm rest."""
     cold = temporal_split(cumulative_ratio(days, cfg.total), cfg.train, cfg.valid)
-    warm = warm_split(cold.where(F.col("split") == "train"), cfg.seed)
-    cols = ["upload_ds", "split", "wc_split"]
-    return cold.where(F.col("split") != "train").select(*cols).unionByName(warm.select(*cols))
+    train = F.col("split") == "train"
+    warm = _warm_label(F.col("upload_ds"), cfg.seed)
+    return cold.select(
+        "upload_ds", F.when(train, warm).otherwise(F.col("split")).alias("split"),
+        F.when(train, F.concat(F.lit("w_"), warm)).otherwise(F.col("wc_split")).alias("wc_split"))
 
 
 def item_splits(log: DataFrame, cfg: SplitConfig = SplitConfig()) -> DataFrame:
-    """(`media_id`, `upload_ds`, `split`, `wc_split`, `_rows`) with the item's log rows."""
-    seen = log.groupBy("media_id").agg(
-        F.min("ds").alias("upload_ds"), F.count(F.lit(1)).alias("_rows"))
+    """(`media_id`, `upload_ds`, `split`, `wc_split`, `_rows`) with the item's log rows.
+
+    The per-item table is staged: the day totals, the assignment and the skew
+    check of the later join all read it instead of the log.
+    """
+    seen = stage(log.where(F.col("media_id").isNotNull()).groupBy("media_id").agg(
+        F.min("ds").alias("upload_ds"), F.count(F.lit(1)).alias("_rows")), "first-seen")
     # One row per calendar day, so this side cannot grow with the log.
     return seen.join(F.broadcast(split_days(items_per_day(seen), cfg)), "upload_ds")
 

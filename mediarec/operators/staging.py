@@ -31,6 +31,16 @@ def stage_root(spark: SparkSession) -> str:
     return _local_root
 
 
+def _app_folder(spark: SparkSession) -> str:
+    return f"{stage_root(spark)}/mediarec/{spark.sparkContext.applicationId}"
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete every table this application staged; call it when its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_app_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write `df` once as Parquet and return a scan of it.
 
@@ -38,7 +48,7 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     stays columnar, and survives the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/mediarec/{name}-{uuid.uuid4().hex}"
+    path = f"{_app_folder(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
