@@ -71,7 +71,7 @@ def test_ridge_projects_wide_inputs(data):
 @pytest.mark.parametrize("shards", [1, 3])
 def test_training_lowers_both_losses(data, shards):
     train, valid = data
-    model = fusion.fit_fusion(train, valid, replace(SMALL, shards=shards))
+    model = fusion.fit_fusion(train, valid, replace(SMALL, shards=shards, lr=3e-2))
     first, last = model.losses[0], model.losses[-1]
     assert last[1] < 0.5 * first[1] and last[2] < 0.7 * first[2]
 
