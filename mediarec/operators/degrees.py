@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Row, functions as F
 
 from mediarec.operators.skew import HOT_ROWS, hot_key_join
 from mediarec.operators.staging import stage
 
-# A table of dropped keys up to this many rows is broadcast (ids are short
-# strings: about 50 MB); a larger one joins by shuffle. Checked on the written
-# table each round.
+# The pruning loop probes the pairs against the failed keys by broadcast while
+# there are at most this many (ids are short strings: about 50 MB). The number
+# is known from the previous round; beyond it the pairs are rewritten instead.
 BROADCAST_KEYS = 500_000
-# The pair table is rewritten once this share of its rows is gone, or when
-# this many tables of dropped keys have piled up on it.
+# Likewise once the failed keys hold more than this share of the pair rows.
 REWRITE_SHARE = 0.2
-REWRITE_ROUNDS = 4
 
 
 def pair_counts(df: DataFrame) -> DataFrame:
@@ -70,15 +68,50 @@ def with_degree(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return attach_degrees(df, users, items, hot_rows)
 
 
-def _without(pairs: DataFrame, users: DataFrame, n_users: int,
-             items: DataFrame, n_items: int) -> DataFrame:
-    for gone, key, n in ((items, "media_id", n_items), (users, "id_no", n_users)):
-        if n:
-            gone = gone.select(key)
-            pairs = pairs.join(F.broadcast(gone) if n <= BROADCAST_KEYS else gone, key, "left_anti")
+def _state(degrees: DataFrame, low: Column, done: int) -> tuple[DataFrame, Row]:
+    """Write the key table of a round, marking keys that fail in it.
+
+    (`side`, `key`, `n`, `failed`): rows of the key in this snapshot, and the
+    round it failed in. The totals ride on the write; no second job reads it.
+    """
+    seen = Observation()
+    now = F.col("failed") == done
+    marked = degrees.withColumn("failed", F.coalesce("failed", F.when(low, F.lit(done))))
+    table = stage(marked.observe(
+        seen, F.count_if(now).alias("failing"),
+        F.coalesce(F.sum(F.when(now, F.col("n"))), F.lit(0)).alias("cut"),
+        F.coalesce(F.sum(F.when(F.col("side") == 0, F.col("n"))), F.lit(0)).alias("rows")), "keys")
+    return table, Row(**seen.get)
+
+
+def _failed(state: DataFrame, side: int, key: str, name: str) -> DataFrame:
+    return state.where((F.col("side") == side) & F.col("failed").isNotNull()).select(
+        F.col("key").alias(key), F.col("failed").alias(name))
+
+
+def _without(pairs: DataFrame, state: DataFrame, n_failed: int) -> DataFrame:
+    for side, key in ((1, "media_id"), (0, "id_no")):
+        gone = _failed(state, side, key, "_f").drop("_f")
+        pairs = pairs.join(F.broadcast(gone) if n_failed <= BROADCAST_KEYS else gone, key, "left_anti")
     return pairs
 
 
+def _after_round(pairs: DataFrame, state: DataFrame, last: int) -> DataFrame:
+    """Key counts after the pairs that went with round `last` are taken off.
+
+    Only those pairs are shuffled, as negative counts beside the old key table.
+    """
+    users, items = _failed(state, 0, "id_no", "_fu"), _failed(state, 1, "media_id", "_fi")
+    went = pairs.join(F.broadcast(users), "id_no", "left").join(F.broadcast(items), "media_id", "left").where(
+        F.least("_fu", "_fi") == last)
+    less = -F.col("n")
+    taken = went.select(F.inline(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("id_no").alias("key"), less.alias("n")),
+        F.struct(F.lit(1).alias("side"), F.col("media_id").alias("key"), less.alias("n")))))
+    return state.unionByName(taken, allowMissingColumns=True).groupBy("side", "key").agg(
+        F.sum("n").alias("n"), F.min("failed").alias("failed"))
+
+
 def core_keys(pairs: DataFrame, min_per_user: int, min_per_item: int,
               rounds: int | None = 5) -> tuple[DataFrame, DataFrame]:
     """Users and items left after `rounds` prunings (None: until nothing changes).
@@ -86,52 +119,34 @@ def core_keys(pairs: DataFrame, min_per_user: int, min_per_item: int,
     `pairs` is a staged (`id_no`, `media_id`, `n`) table. In each round both
     counts come from the same snapshot and every key below its bound goes,
     with all its rows. A row therefore survives exactly when its user and its
-    item never failed, so the state of the loop is the set of failed keys: the
-    pairs are re-read each round with small anti joins and rewritten only
-    after they have shrunk noticeably. Per round: one scan, one shuffle of
-    partial counts, two numbers to the driver.
+    item never failed, so the state of the loop is one row per key. The first
+    round counts everything; later ones scan the pairs and shuffle only those
+    that just went. When much has gone, the pairs are rewritten and counted
+    anew. The driver sees three totals per round.
 
     The returned counts are those of the last snapshot that was filtered.
     """
     if rounds is not None and rounds < 1:
         raise ValueError("rounds must be at least 1")
-    low = ((F.col("side") == 0) & (F.col("n") < min_per_user)) | (
-        (F.col("side") == 1) & (F.col("n") < min_per_item))
-    base, gone, done = pairs, [], 0
-    base_rows = None
+    low = F.col("n") < F.when(F.col("side") == 0, min_per_user).otherwise(min_per_item)
+    done = n_failed = cut = 0
+    state = base_rows = None
     while True:
-        alive = base
-        if gone:
-            users = items = None
-            n_users = n_items = 0
-            for failed, nu, ni in gone:
-                users = _users(failed) if users is None else users.union(_users(failed))
-                items = _items(failed) if items is None else items.union(_items(failed))
-                n_users, n_items = n_users + nu, n_items + ni
-            alive = _without(base, users, n_users, items, n_items)
-        # The counts ride on the write of the table; no second job reads it.
-        seen = Observation()
-        degrees = stage(_both_degrees(alive).observe(
-            seen,
-            F.count_if(low & (F.col("side") == 0)).alias("users"),
-            F.count_if(low & (F.col("side") == 1)).alias("items"),
-            F.coalesce(F.sum(F.when(low, F.col("n"))), F.lit(0)).alias("cut"),
-            F.coalesce(F.sum(F.when(F.col("side") == 0, F.col("n"))), F.lit(0)).alias("rows"),
-        ), "degrees")
+        if state is None:
+            degrees = _both_degrees(pairs).withColumn("failed", F.lit(None).cast("int"))
+            n_failed, cut, base_rows = 0, 0, None
+        else:
+            degrees = _after_round(pairs, state, done)
         done += 1
-        stats = seen.get
-        failing = stats["users"] + stats["items"]
-        if done == rounds or not failing:
-            kept = degrees.where(~low)
+        state, totals = _state(degrees, low, done)
+        if done == rounds or not totals["failing"]:
+            kept = state.where(F.col("failed").isNull() & (F.col("n") > 0))
             return _users(kept), _items(kept)
-        if base_rows is None:
-            base_rows = stats["rows"]
-        gone.append((degrees.where(low), stats["users"], stats["items"]))
-        left = stats["rows"] - stats["cut"]
-        if left < (1 - REWRITE_SHARE) * base_rows or len(gone) >= REWRITE_ROUNDS:
-            failed, nu, ni = gone[-1]
-            base = stage(_without(alive, _users(failed), nu, _items(failed), ni), "pairs")
-            gone, base_rows = [], None
+        base_rows = base_rows or totals["rows"]
+        n_failed += totals["failing"]
+        cut += totals["cut"]
+        if n_failed > BROADCAST_KEYS or cut > REWRITE_SHARE * base_rows:
+            pairs, state = stage(_without(pairs, state, n_failed), "pairs"), None
 
 
 def core_filter(df: DataFrame, min_per_user: int, min_per_item: int,
