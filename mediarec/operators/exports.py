@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from mediarec.config import CATEGORIES
 from mediarec.operators.skew import HOT_ROWS, hot_key_join
+from mediarec.operators.staging import stage
 from mediarec.schemas import require_columns
 
 
@@ -80,9 +81,9 @@ def user_histories(df: DataFrame, max_items: int = 1000,
     user with more than `max_items` items gets several parts of about that
     size, dealt by md5 of the item, so no list grows without bound.
     """
-    pairs = df.where(F.col("id_no").isNotNull()).groupBy("id_no", "media_id").agg(
-        F.count(F.lit(1)).alias("views"))
-    sizes = pairs.groupBy("id_no").agg(F.count(F.lit(1)).alias("_items"))
+    pairs = stage(df.where(F.col("id_no").isNotNull()).groupBy("id_no", "media_id").agg(
+        F.count(F.lit(1)).alias("views")), "views")
+    sizes = stage(pairs.groupBy("id_no").agg(F.count(F.lit(1)).alias("_items")), "view-sizes")
     n_parts = F.ceil(F.col("_items") / F.lit(max_items))
     digest = F.conv(F.substring(F.md5("media_id"), 1, 8), 16, 10).cast("long")
     # One user can own most of the pairs: spread that user before the lists are built.

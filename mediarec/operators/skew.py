@@ -15,13 +15,17 @@ def hot_key_join(fact: DataFrame, keyed: DataFrame, key: str, rows: str,
     """Inner join of `fact` with `keyed`, which has one row per key.
 
     `keyed[rows]` must be (an upper bound of) the number of fact rows of the
-    key. Keys above `hot_rows` are cut into ceil(rows / hot_rows) salted parts:
+    key; its maximum is looked up first, so `keyed` should be a staged table.
+    Without a hot key this is a plain join. Keys above `hot_rows` are cut into ceil(rows / hot_rows) salted parts:
     their single keyed row is repeated once per part and the fact rows are
     dealt out over the parts. All other keys join as usual.
 
     The salt mixes the row with the id of the map partition holding it, so
     exact copies of a row spread out too, and a re-run task deals the same way.
     """
+    largest = keyed.agg(F.max(rows)).first()[0]
+    if largest is None or largest <= hot_rows:
+        return fact.join(keyed, key)
     parts = F.ceil(F.col(rows) / F.lit(hot_rows)).cast("int")
     # Size bound: at most (fact rows / hot_rows) keys, see HOT_ROWS.
     hot = F.broadcast(keyed.where(F.col(rows) > hot_rows).select(key, parts.alias("_parts")))
