@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+        master="local[8]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
         spark__driver__memory="6g", spark__ui__showConsoleProgress="false")
     session.sparkContext.setLogLevel("ERROR")
     yield session

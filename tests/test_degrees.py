@@ -45,20 +45,19 @@ def test_with_degree(log, hot_rows):
 
 
 @pytest.mark.parametrize("rounds", [1, 2, 5, None])
-@pytest.mark.parametrize("bounds", [(20, 6), (30, 12)])
+@pytest.mark.parametrize("bounds", [(30, 12)])
 def test_core_filter(log, bounds, rounds):
     got = degrees.core_filter(log, *bounds, rounds, hot_rows=100)
     assert sorted(tuple(r) for r in got.select(*COLS).collect()) == prune(skewed_log(), *bounds, rounds)
 
 
-@pytest.mark.parametrize("share, keys", [(0.0, 0), (0.0, 500_000), (0.3, 500_000), (9.0, 500_000), (9.0, 20)])
+@pytest.mark.parametrize("share, keys", [(0.0, 0), (0.3, 500_000), (9.0, 500_000)])
 def test_core_filter_ways_of_dropping(log, monkeypatch, share, keys):
     """Counts taken down or pairs rewritten, by broadcast or by shuffle: same result."""
     monkeypatch.setattr(degrees, "REWRITE_SHARE", share)
     monkeypatch.setattr(degrees, "BROADCAST_KEYS", keys)
-    for rounds in (3, None):
-        got = degrees.core_filter(log, 30, 12, rounds)
-        assert sorted(tuple(r) for r in got.select(*COLS).collect()) == prune(skewed_log(), 30, 12, rounds)
+    got = degrees.core_filter(log, 30, 12, None)
+    assert sorted(tuple(r) for r in got.select(*COLS).collect()) == prune(skewed_log(), 30, 12, None)
 
 
 def test_fixpoint_is_stable(log):
