@@ -82,6 +82,25 @@ def _dims(df: DataFrame, cfg: FusionConfig) -> tuple[dict[str, int], int]:
 _STEP_SCHEMA = "name string, chunk int, rows double, vec array<double>"
 
 
+def _minibatches(batches: Iterator[pd.DataFrame], size: int,
+                 rng: np.random.Generator) -> Iterator[pd.DataFrame]:
+    """Batches of exactly `size` rows, the last one shorter.
+
+    Rows are shuffled within what Arrow hands over at a time, which is bounded.
+    """
+    held = None
+    for pdf in batches:
+        held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        full = len(held) // size * size
+        if full:
+            held = held.iloc[rng.permutation(len(held))]
+            for lo in range(0, full, size):
+                yield held.iloc[lo:lo + size]
+            held = held.iloc[full:]
+    if held is not None and len(held):
+        yield held
+
+
 def _epoch_task(cfg: FusionConfig, weights, epoch: int, counts: dict[int, int]):
     """One pass over a shard: minibatch Adam from the shared weights."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,17 +111,13 @@ def _epoch_task(cfg: FusionConfig, weights, epoch: int, counts: dict[int, int]):
         per_epoch = max(math.ceil(counts.get(shard, 1) / cfg.batch), 1)
         rng = np.random.default_rng([cfg.seed, epoch, shard])
         steps, rows, total = 0, 0, 0.0
-        for pdf in batches:
-            # Arrow hands over a bounded number of rows; they are shuffled within.
-            pdf = pdf.iloc[rng.permutation(len(pdf))]
-            for lo in range(0, len(pdf), cfg.batch):
-                part = pdf.iloc[lo:lo + cfg.batch]
-                loss, grads = net.loss_and_grad(p, _inputs(part, cfg), _matrix(part["cf"]), cfg, rng)
-                lr = net.learning_rate(epoch + min(steps / per_epoch, 1.0), cfg)
-                steps += 1
-                net.adam_step(p, m, v, grads, first + steps, lr)
-                rows += len(part)
-                total += loss * len(part)
+        for part in _minibatches(batches, cfg.batch, rng):
+            loss, grads = net.loss_and_grad(p, _inputs(part, cfg), _matrix(part["cf"]), cfg, rng)
+            lr = net.learning_rate(epoch + steps / per_epoch, cfg)
+            steps += 1
+            net.adam_step(p, m, v, grads, first + steps, lr)
+            rows += len(part)
+            total += loss * len(part)
         if rows:
             out = [("loss", 0, float(rows), [total / rows, float(steps)])]
             for kind, table in (("p", p), ("m", m), ("v", v)):

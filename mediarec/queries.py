@@ -544,3 +544,10 @@ def score_fusion(spark, sf):
 def ablation(spark, sf):
     _, train, valid = _train_valid(spark, sf)
     return _flat(fusion.ablation(train, valid, FusionConfig(solver="ridge")))
+
+
+@_query
+def ablation_mlp(spark, sf):
+    _, train, valid = _train_valid(spark, sf)
+    cfg = FusionConfig(hidden=32, epochs=2, warmup_epochs=1, lr=1e-3)
+    return _flat(fusion.ablation(train, valid, cfg, seeds=[0]))

@@ -1,6 +1,7 @@
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -42,6 +43,15 @@ def test_gradient_matches_differences():
             assert abs((up - down) / (2 * eps) - grads[name][at]) < 1e-6
 
 
+def test_minibatches_cross_arrow_batches():
+    rng = np.random.default_rng(0)
+    parts = [pd.DataFrame({"x": range(a, b)}) for a, b in ((0, 5), (5, 6), (6, 19), (19, 23))]
+    got = [list(p["x"]) for p in fusion._minibatches(iter(parts), 4, rng)]
+    assert [len(p) for p in got] == [4, 4, 4, 4, 4, 3]
+    assert sorted(x for p in got for x in p) == list(range(23))
+    assert [len(p) for p in fusion._minibatches(iter(parts), 100, rng)] == [23]
+
+
 def test_schedule():
     cfg = FusionConfig()
     assert net.learning_rate(0, cfg) == 0
