@@ -258,7 +258,7 @@ def oracle_sql() -> dict[str, str]:
         "pair_counts": _with("log", "clean") + "SELECT id_no, media_id, count(*) AS n FROM clean GROUP BY 1, 2",
         "with_degree": _with(*CLEAN, d=DEGREE.format(src="known")) + f"SELECT {degree_cols} FROM d",
         "core_filter_5": _with(*CLEAN, **_rounds(5)) + f"SELECT {degree_cols} FROM k5",
-        "core_filter_fixpoint": _with(*CLEAN, **_rounds(24)) + f"SELECT {degree_cols} FROM k24",
+        "core_filter_fixpoint": _with(*CLEAN, **_rounds(32)) + f"SELECT {degree_cols} FROM k32",
         "view_counts": known + "SELECT media_id, count(*) AS count FROM known GROUP BY 1",
         "view_counts_user": known + "SELECT id_no, count(*) AS count FROM known GROUP BY 1",
         "item_meta": _with("log", "meta", "clean") + f"""SELECT m.*, count, {_r('avg_watch_time')} FROM meta m JOIN
