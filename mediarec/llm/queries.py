@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mediarec.llm import quality_rules, rule_ensemble, slots
+from mediarec.llm import line_templates, near_duplicates, packing, quality_rules, rule_ensemble, slots
 from mediarec.llm.common import id_remainder, read
 from mediarec.operators.staging import stage
 
@@ -17,6 +17,27 @@ def _documents(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", "text", *more)
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op3_best_two_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Every piece's place in the packed sequences."""
+    return packing.pack(_documents(spark, sf), tokenizer_path("word_bpe_49k.json"))
+
+
+def op4_line_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's text without the lines of recurring templates."""
+    config = line_templates.TemplateConfig()
+    found = line_templates.marked(_documents(spark, sf), config)
+    left = line_templates.kept_lines(F.col("text"), F.col("gone"), config)
+    lines = F.size(F.split("text", "\n", -1)).cast("long")
+    kept = F.when(F.col("gone").isNull(), lines).otherwise(F.size(left).cast("long"))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return found.select("doc_id", lines.alias("n_lines"), (lines - kept).alias("n_dropped"), text.alias("text"))
+
+
 def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Counts per document, the base verdict and the verdict with adaptive bounds."""
     config = quality_rules.RulesConfig()
@@ -26,6 +47,12 @@ def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
                          quality_rules.base_failed(F.col("counts"), config).alias("base_failed"), "kept")
 
 
+def op7_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's component under 5-word shingle similarity of 0.75 or more."""
+    found = near_duplicates.linked(_documents(spark, sf))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def op8_rule_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     """Score of every document; learned from the labels outside remainder 0 of 5."""
     docs = _documents(spark, sf)
