@@ -38,3 +38,12 @@ def fresh(frame: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def computed_once(frame: DataFrame, **columns: Column) -> DataFrame:
+    """`frame` with more columns that no later filter or projection can pull apart and evaluate again.
+
+    A one-element `inline` is a step the optimizer does not push conditions
+    through, so costly columns used in many conditions are computed once a row.
+    """
+    return frame.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

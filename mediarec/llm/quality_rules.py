@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mediarec.llm.common import HAS_WORD, fresh, text_of, words
+from mediarec.llm.common import HAS_WORD, computed_once, fresh, text_of, words
 from mediarec.operators.staging import stage
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -85,7 +85,7 @@ def with_counts(docs: DataFrame, text: str = "text", out: str = "counts") -> Dat
         (F.size(n) - F.size(F.array_distinct(n))).cast("long").alias("n_dup_lines"),
         F.aggregate(gaps, F.lit(0).cast("long"), lambda s, g: s + g).alias("n_repeat_words"),
         F.size(n).cast("long").alias("n_lines"))
-    return spaced.withColumn(out, counts).drop(w, h, p, n, k)
+    return computed_once(spaced, **{out: counts}).drop(w, h, p, n, k)
 
 
 def base_failed(counts: Column, config: RulesConfig) -> Column:

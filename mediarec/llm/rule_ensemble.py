@@ -24,7 +24,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mediarec.llm.common import fresh, text_of, words
+from mediarec.llm.common import computed_once, fresh, text_of, words
 from mediarec.operators.staging import stage
 
 STATS = ("n_words", "word_length", "distinct_share", "upper_share", "symbol_share", "mark_share", "digit_share", "line_words", "richness")
@@ -47,20 +47,20 @@ class Rules:
     intercept: float
     terms: tuple
 
-    def score(self, stats: Column) -> Column:
-        """Probability of label 1 from the statistics struct, as one expression."""
+    def score(self, columns: dict[str, str]) -> Column:
+        """Probability of label 1 as one expression; `columns` names the column of each statistic."""
         total = F.lit(self.intercept)
         for weight, path in self.terms:
             holds = F.lit(True)
             for name, above, cut in path:
-                holds &= (stats[name] > cut) if above else (stats[name] <= cut)
+                holds &= (F.col(columns[name]) > cut) if above else (F.col(columns[name]) <= cut)
             total += F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-total))
 
 
-def with_stats(docs: DataFrame, out: str, text: str = "text") -> DataFrame:
-    """`docs` with a struct column `out` of the statistics named in STATS."""
-    (w,) = fresh(docs, f"{out}_words")
+def with_stats(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with a column for each of STATS, and the names they got."""
+    w, *names = fresh(docs, "stat_words", *STATS)
     t, n = text_of(text), F.size(w)
     chars = F.length(F.array_join(w, ""))
 
@@ -73,7 +73,8 @@ def with_stats(docs: DataFrame, out: str, text: str = "text") -> DataFrame:
              n / F.size(F.split(t, "\n", -1)),
              # log of distinct words by log of words: unlike the share, it hardly falls with length.
              F.when(n > 1, F.log(F.size(F.array_distinct(w))) / F.log(n)).otherwise(1.0))
-    return docs.withColumn(w, words(t)).withColumn(out, F.struct(*[s.cast("double").alias(c) for s, c in zip(stats, STATS)])).drop(w)
+    out = computed_once(docs.withColumn(w, words(t)), **{c: s.cast("double") for c, s in zip(names, stats)})
+    return out.drop(w), dict(zip(STATS, names))
 
 
 def _paths(debug: str) -> list[tuple]:
@@ -100,10 +101,9 @@ def _narrowed(path: tuple) -> tuple:
     return tuple(sorted((n, a, c) for (n, a), c in tight.items()))
 
 
-def fit(labelled: DataFrame, label: str = "label", stats: str = "stats", config: EnsembleConfig = EnsembleConfig()) -> Rules:
-    """Rules from rows with a 0/1 `label` and a `stats` struct; `labelled` holds at most `max_rows` rows or so."""
-    rows = stage(labelled.select(F.col(label).cast("double").alias("label"), f"{stats}.*").where(F.col("label").isNotNull()),
-                 "rule-training")
+def fit(labelled: DataFrame, config: EnsembleConfig = EnsembleConfig()) -> Rules:
+    """Rules from rows with a 0/1 `label` and the columns of STATS; `labelled` holds at most `max_rows` rows or so."""
+    rows = stage(labelled.select(F.col("label").cast("double").alias("label"), *STATS), "rule-training")
     n, ones = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not n or ones in (0, n):
         import math
@@ -140,14 +140,13 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, confi
     rows = rows.where(F.pmod(F.xxhash64(F.lit("rules"), "doc_id"), F.lit(1024)) < max(share, 1))
     # Size bound: about max_rows rows of 12 bytes, see above.
     sample = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
-    return fit(with_stats(sample, "stats"), config=config)
+    return fit(with_stats(sample)[0], config)
 
 
 def scored(docs: DataFrame, rules: Rules, out: str, text: str = "text") -> DataFrame:
     """`docs` with a double column `out`."""
-    (stats,) = fresh(docs, f"{out}_stats")
-    with_all = with_stats(docs, stats, text)
-    return with_all.withColumn(out, rules.score(F.col(stats))).drop(stats)
+    with_all, names = with_stats(docs, text)
+    return with_all.withColumn(out, rules.score(names)).select(*docs.columns, out)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, train: Column | None = None, config: EnsembleConfig = EnsembleConfig()) -> DataFrame:
