@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mediarec.llm import line_templates, near_duplicates, packing, quality_rules, rule_ensemble, slots
+from mediarec.llm import line_templates, merkle, near_duplicates, packing, quality_rules, rule_ensemble, slots, tree_bpe
 from mediarec.llm.common import id_remainder, read
 from mediarec.operators.staging import stage
 
@@ -22,6 +22,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_merkle_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and how like they are."""
+    return merkle.with_next(_documents(spark, sf))
+
+
 def op3_best_two_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Every piece's place in the packed sequences."""
     return packing.pack(_documents(spark, sf), tokenizer_path("word_bpe_49k.json"))
@@ -70,6 +75,11 @@ def op9_virtual_slots(spark: SparkSession, sf: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op10_tree_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of every text's ids and of what they decode to."""
+    return tree_bpe.digests(_documents(spark, sf), tokenizer_path("byte_bpe_50k.json"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

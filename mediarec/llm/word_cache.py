@@ -11,17 +11,18 @@ class WordCache:
     """Ids of words as little-endian unsigned 32-bit bytes, so that a text's ids are one join of its words' bytes.
 
     Right for tokenizers whose result for a text is that of its words one after
-    the other; the caller decides what a word is. The cache starts anew when
+    the other; the caller decides what a word is, and
+    what `prefix` stands before each. The cache starts anew when
     it holds `most` words, which bounds a worker's memory.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, prefix: str = "", most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.most = most
+        self.prefix, self.most = prefix, most
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
@@ -31,21 +32,21 @@ class WordCache:
         if len(self.known) + len(new) > self.most:
             self.known.clear()
             new = list(words)
-        done = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
+        done = self.tokenizer.encode_batch_fast([self.prefix + w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
         self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, done))
 
     def join(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.known.__getitem__, words))
 
 
-_caches: dict[str, WordCache] = {}
+_caches: dict[tuple[str, str], WordCache] = {}
 
 
-def word_cache(path: str) -> WordCache:
-    """The worker's cache for the tokenizer file at `path`."""
-    if path not in _caches:
-        _caches[path] = WordCache(path)
-    return _caches[path]
+def word_cache(path: str, prefix: str = "") -> WordCache:
+    """The worker's cache of words with `prefix` before them, for the tokenizer file at `path`."""
+    if (path, prefix) not in _caches:
+        _caches[path, prefix] = WordCache(path, prefix)
+    return _caches[path, prefix]
 
 
 def portions(texts: list, size: int = 1 << 20):
