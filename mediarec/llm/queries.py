@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mediarec.llm import line_templates, merkle, near_duplicates, packing, quality_rules, rule_ensemble, slots, tree_bpe
+from mediarec.llm import line_templates, merkle, near_duplicates, packing, quality_rules, rule_ensemble, slots, text_density, tree_bpe
 from mediarec.llm.common import id_remainder, read
 from mediarec.operators.staging import stage
 
@@ -43,6 +43,11 @@ def op4_line_templates(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", lines.alias("n_lines"), (lines - kept).alias("n_dropped"), text.alias("text"))
 
 
+def op5_text_density(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    return text_density.extracted(read(spark, sf, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Counts per document, the base verdict and the verdict with adaptive bounds."""
     config = quality_rules.RulesConfig()
