@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mediarec.llm import line_templates, merkle, near_duplicates, packing, quality_rules, rule_ensemble, slots, text_density, tree_bpe
+from mediarec.llm import interpolation, line_templates, merkle, near_duplicates, packing, quality_rules, rule_ensemble, slots, text_density, tree_bpe
 from mediarec.llm.common import id_remainder, read
 from mediarec.operators.staging import stage
 
@@ -17,6 +17,12 @@ def _documents(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", "text", *more)
 
 
+def op2_deleted_interpolation(spark: SparkSession, sf: str) -> DataFrame:
+    """Log-probabilities of every text under the interpolated model and under add-one word counts."""
+    found = interpolation.scored_documents(_documents(spark, sf))
+    return found.withColumn("held_out", id_remainder(F.col("doc_id"), 7) == 2)
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
