@@ -35,7 +35,7 @@ class SplitConfig:
     total: int | None = None
     seed: int = 42
     categories: tuple[str, ...] = CATEGORIES
-    cap: int = 10_000
+    cap: int = 10_000  # fixed value: published size of a category
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,10 @@ class AlsConfig:
 
 @dataclass(frozen=True)
 class FusionConfig:
-    """Content-to-collaborative regression. Letters: v vision, a audio, t lyrics, g genres."""
+    """Content-to-collaborative regression. Letters: v vision, a audio, t lyrics, g genres.
+
+    `shards` decides the algorithm, see `fit_fusion`.
+    """
 
     modality: str = "vatg"
     hidden: int = 768
@@ -72,9 +75,8 @@ class FusionConfig:
     patience: int = 30
     min_delta: float = 1e-9
     seed: int = 0
-    shards: int | None = None
+    shards: int = 1
     solver: str = "mlp"
     ridge: float = 1e-6
-    ridge_cap: int = 2048
     columns: dict[str, str] = field(default_factory=lambda: {
         "v": "vision", "a": "audio", "t": "lyrics", "g": "genres"})

@@ -48,17 +48,27 @@ def frame_rows(df: DataFrame, id_col: str, pos: str, sample: str, n_frames: int,
     """As `frame_sequence` for signals stored one sample per row, zero-based `pos`.
 
     A frame gathers at most `frame_len` rows, so clips of any length work.
+    Every sample stands at its own position, positions without a sample are
+    zero, and a position given twice is an error.
     """
-    kept = df.where(F.col(pos) < n_frames * frame_len).select(
+    kept = df.where((F.col(pos) >= 0) & (F.col(pos) < n_frames * frame_len)).select(
         id_col, F.floor(F.col(pos) / frame_len).cast("int").alias("frame"),
         (F.col(pos) % frame_len).cast("int").alias("_at"), F.col(sample).cast("double").alias("_x"))
     every = df.select(id_col).distinct().withColumn(
         "frame", F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1))))
     filled = kept.groupBy(id_col, "frame").agg(F.sort_array(F.collect_list(F.struct("_at", "_x"))).alias("_s"))
-    have = F.coalesce(F.col("_s._x"), F.array().cast("array<double>"))
+
+    def zeros(n: Column) -> Column:
+        return F.array_repeat(F.lit(0.0), n)
+
+    def until_next(e: Column, i: Column) -> Column:
+        gap = F.coalesce(F.get("_s", i + 1)["_at"], F.lit(frame_len)) - e["_at"] - 1
+        twice = F.when(gap < 0, F.raise_error(F.lit("a position of the signal is given twice")).cast("int")).otherwise(gap)
+        return F.concat(F.array(e["_x"]), zeros(twice))
+
+    placed = F.concat(zeros(F.get("_s", F.lit(0))["_at"]), F.flatten(F.transform("_s", until_next)))
     return every.join(filled, [id_col, "frame"], "left").select(
-        id_col, "frame",
-        F.concat(have, F.array_repeat(F.lit(0.0), F.lit(frame_len) - F.size(have))).alias("samples"))
+        id_col, "frame", F.coalesce(placed, zeros(F.lit(frame_len))).alias("samples"))
 
 
 def mean_square(x: Column) -> Column:

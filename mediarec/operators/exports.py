@@ -63,14 +63,15 @@ def split_manifest(df: DataFrame) -> DataFrame:
     pairs = F.array(
         F.struct(F.lit("item").alias("side"), F.col("media_id").alias("id")),
         F.struct(F.lit("user").alias("side"), F.col("id_no").alias("id")))
-    distinct = (
-        df.select("split", group.alias("_group"), F.inline(pairs))
-        .where(F.col("id").isNotNull()).distinct()
+    # One aggregate: an id's cold and warm flags decide its sets.
+    flags = (
+        df.select("split", group.alias("_group"), F.inline(pairs)).where(F.col("id").isNotNull())
+        .groupBy("split", "side", "id").agg(
+            F.bool_or(F.col("_group") == "cold").alias("_cold"), F.bool_or(F.col("_group") == "warm").alias("_warm"))
     )
-    return distinct.select(
-        "split", "side", "id",
-        F.explode(F.array_compact(F.array(F.lit("all"), "_group"))).alias("_set"),
-    ).select("split", F.concat("_set", F.lit("_"), "side").alias("id_set"), "id").distinct()
+    sets = F.array_compact(F.array(F.lit("all"), F.when(F.col("_cold"), "cold"), F.when(F.col("_warm"), "warm")))
+    return flags.select("split", F.explode(sets).alias("_set"), "side", "id").select(
+        "split", F.concat("_set", F.lit("_"), "side").alias("id_set"), "id")
 
 
 def user_histories(df: DataFrame, max_items: int = 1000,
@@ -81,7 +82,7 @@ def user_histories(df: DataFrame, max_items: int = 1000,
     user with more than `max_items` items gets several parts of about that
     size, dealt by md5 of the item, so no list grows without bound.
     """
-    pairs = stage(df.where(F.col("id_no").isNotNull()).groupBy("id_no", "media_id").agg(
+    pairs = stage(df.dropna(subset=["id_no", "media_id"]).groupBy("id_no", "media_id").agg(
         F.count(F.lit(1)).alias("views")), "views")
     sizes = stage(pairs.groupBy("id_no").agg(F.count(F.lit(1)).alias("_items")), "view-sizes")
     n_parts = F.ceil(F.col("_items") / F.lit(max_items))

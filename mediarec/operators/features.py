@@ -47,20 +47,29 @@ def assemble_modalities(features: DataFrame, factors: DataFrame, ids: DataFrame
                         modalities: Iterable[str]) -> tuple[DataFrame, DataFrame]:
     """One training row per item: a column per modality and `cf`, and a loss count.
 
-    The features are pivoted with one aggregate instead of one join per
-    modality. Items lacking a modality or a factor are left out; the second
-    table says how many were asked for, complete and dropped.
+    Features outside the id list go before the first vector moves; the rest are
+    shuffled once, by item, and gathered without sorting. Items lacking a
+    modality or a factor are left out; the second table says how many were
+    asked for, complete and dropped. Two vectors of one modality are an error.
     """
     wanted = list(modalities)
     require_columns(features, "item_id", "modality", "vec")
-    wide = (
-        features.where(F.col("modality").isin(*wanted)).groupBy("item_id")
-        .agg(*[F.max(F.when(F.col("modality") == m, F.col("vec"))).alias(m) for m in wanted])
-    )
+    chosen = features.where(F.col("modality").isin(*wanted) & F.col("vec").isNotNull())
     cf = factors.select(F.col("id").alias("item_id"), F.col("vec").alias("cf"))
-    asked = wide if ids is None else ids.select(F.col("id").alias("item_id")).distinct().join(
-        wide, "item_id", "left")
-    rows = asked.join(cf, "item_id", "left")
+    asked = None
+    if ids is not None:
+        asked = ids.select(F.col("id").alias("item_id")).distinct()
+        chosen = chosen.join(asked, "item_id", "left_semi")
+    # As many entries as modalities.
+    wide = chosen.groupBy("item_id").agg(F.collect_list(F.struct("modality", "vec")).alias("_v"))
+
+    def only(m: str) -> Column:
+        found = F.filter("_v", lambda v: v["modality"] == m)
+        again = F.raise_error(F.concat(F.lit(f"two vectors of {m} for item "), F.col("item_id").cast("string")))
+        return F.when(F.size(found) > 1, again.cast("array<double>")).otherwise(F.get(found, F.lit(0))["vec"]).alias(m)
+
+    wide = wide.select("item_id", *[only(m) for m in wanted])
+    rows = (wide if asked is None else asked.join(wide, "item_id", "left")).join(cf, "item_id", "left")
     complete = F.lit(True)
     for c in [*wanted, "cf"]:
         complete = complete & F.col(c).isNotNull()

@@ -25,6 +25,7 @@ from mediarec.operators.staging import stage
 from mediarec.schemas import require_columns
 
 _CHUNK = 4096
+_GRAM_BLOCK = 1024  # columns of the Gram matrix summed in one pass
 _MIN_GRAM_ROWS = 4  # rows per Gram column that make a separate partial sum worth its size
 
 
@@ -82,18 +83,13 @@ def _dims(df: DataFrame, cfg: FusionConfig) -> tuple[dict[str, int], int]:
 _STEP_SCHEMA = "name string, chunk int, rows double, vec array<double>"
 
 
-def _minibatches(batches: Iterator[pd.DataFrame], size: int,
-                 rng: np.random.Generator) -> Iterator[pd.DataFrame]:
-    """Batches of exactly `size` rows, the last one shorter.
-
-    Rows are shuffled within what Arrow hands over at a time, which is bounded.
-    """
+def _minibatches(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """Batches of exactly `size` rows in the order they come, the last one shorter."""
     held = None
     for pdf in batches:
         held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
         full = len(held) // size * size
         if full:
-            held = held.iloc[rng.permutation(len(held))]
             for lo in range(0, full, size):
                 yield held.iloc[lo:lo + size]
             held = held.iloc[full:]
@@ -111,7 +107,7 @@ def _epoch_task(cfg: FusionConfig, weights, epoch: int, counts: dict[int, int]):
         per_epoch = max(math.ceil(counts.get(shard, 1) / cfg.batch), 1)
         rng = np.random.default_rng([cfg.seed, epoch, shard])
         steps, rows, total = 0, 0, 0.0
-        for part in _minibatches(batches, cfg.batch, rng):
+        for part in _minibatches(batches, cfg.batch):
             loss, grads = net.loss_and_grad(p, _inputs(part, cfg), _matrix(part["cf"]), cfg, rng)
             lr = net.learning_rate(epoch + steps / per_epoch, cfg)
             steps += 1
@@ -144,7 +140,15 @@ def _valid_loss(valid: DataFrame, cfg: FusionConfig, params) -> float:
                 err = net.predict(params.value[0], _inputs(pdf, cfg), cfg) - y
                 yield pd.DataFrame({"sq": [float((err ** 2).sum())], "n": [float(err.size)]})
     row = valid.mapInPandas(run, "sq double, n double").agg(F.sum("sq").alias("sq"), F.sum("n").alias("n")).first()
-    return row["sq"] / row["n"] if row["n"] else math.nan
+    if not row["n"]:
+        raise ValueError("no validation rows")
+    return _finite(row["sq"] / row["n"], "validation")
+
+
+def _finite(loss: float, kind: str) -> float:
+    if not math.isfinite(loss):
+        raise ValueError(f"the {kind} loss is {loss}")
+    return loss
 
 
 def _fit_mlp(train: DataFrame, valid: DataFrame, cfg: FusionConfig) -> FusionModel:
@@ -152,11 +156,8 @@ def _fit_mlp(train: DataFrame, valid: DataFrame, cfg: FusionConfig) -> FusionMod
     sc = spark.sparkContext
     cols = ["item_id", *[cfg.columns[m] for m in net.letters(cfg)], "cf"]
     dims, out_dim = _dims(train, cfg)
-    rows = train.count()
-    shards = cfg.shards or max(1, min(sc.defaultParallelism, math.ceil(rows / cfg.batch)))
-    # Hash placement and an order by hash make a re-run shard identical.
-    placed = train.select(*cols).repartition(shards, "item_id").sortWithinPartitions(
-        F.xxhash64("item_id", F.lit(cfg.seed)), "item_id").persist(StorageLevel.MEMORY_AND_DISK)
+    # Hash placement: the shards' rows depend on `cfg.shards` alone, not on the cluster or the input's partitions.
+    placed = train.select(*cols).repartition(cfg.shards, "item_id").persist(StorageLevel.MEMORY_AND_DISK)
     held = valid.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         counts = {r["s"]: r["count"] for r in
@@ -167,14 +168,16 @@ def _fit_mlp(train: DataFrame, valid: DataFrame, cfg: FusionConfig) -> FusionMod
         best, best_loss, worse, losses, first = p, math.inf, 0, [], 0
         for epoch in range(cfg.epochs):
             weights = sc.broadcast((p, m, v, first))
-            avg = _averaged(placed.mapInPandas(_epoch_task(cfg, weights, epoch, counts), _STEP_SCHEMA))
+            # All rows of a shard in an order of their own for every epoch; a re-run task sees the same.
+            shuffled = placed.sortWithinPartitions(F.xxhash64("item_id", F.lit(cfg.seed), F.lit(epoch)), "item_id")
+            avg = _averaged(shuffled.mapInPandas(_epoch_task(cfg, weights, epoch, counts), _STEP_SCHEMA))
             weights.unpersist()
             p, m, v = ({n: avg[f"{kind}:{n}"].reshape(a.shape) for n, a in p.items()} for kind in "pmv")
             first += max(int(round(avg["loss"][1])), 1)
             shared = sc.broadcast((p,))
             loss = _valid_loss(held, cfg, shared)
             shared.unpersist()
-            losses.append((epoch, float(avg["loss"][0]), float(loss)))
+            losses.append((epoch, _finite(float(avg["loss"][0]), "training"), float(loss)))
             if loss < best_loss:
                 best, best_loss = p, loss
             worse = worse + 1 if loss - best_loss > cfg.min_delta else 0
@@ -186,38 +189,38 @@ def _fit_mlp(train: DataFrame, valid: DataFrame, cfg: FusionConfig) -> FusionMod
         held.unpersist()
 
 
-def _projection(d: int, cfg: FusionConfig) -> np.ndarray | None:
-    """Seeded random projection for inputs wider than the cap."""
-    if d <= cfg.ridge_cap:
-        return None
-    return np.random.default_rng(cfg.seed).standard_normal((d, cfg.ridge_cap)) / math.sqrt(cfg.ridge_cap)
-
-
-def _design(pdf: pd.DataFrame, cfg: FusionConfig, project: np.ndarray | None) -> np.ndarray:
+def _design(pdf: pd.DataFrame, cfg: FusionConfig) -> np.ndarray:
     x = np.hstack([_matrix(pdf[cfg.columns[m]]) for m in net.letters(cfg)])
-    x = x if project is None else x @ project
     return np.hstack([x, np.ones((len(x), 1))])
 
 
-def _gram(df: DataFrame, cfg: FusionConfig, width: int, dim: int) -> np.ndarray:
-    """[X 1 Y]' [X 1 Y] by one distributed sum; its size is bounded by `ridge_cap`."""
-    def run(batches):
-        project = _projection(dim, cfg)
-        total = None
-        for pdf in batches:
-            if len(pdf):
-                z = np.hstack([_design(pdf, cfg, project), _matrix(pdf["cf"])])
-                total = z.T @ z if total is None else total + z.T @ z
-        if total is not None:
-            yield pd.DataFrame({"i": np.arange(width, dtype=np.int32), "vec": list(total)})
+def _gram(df: DataFrame, cfg: FusionConfig, width: int) -> np.ndarray:
+    """[X 1 Y]' [X 1 Y] by distributed sums over blocks of columns.
 
+    A task holds width x 1,024 numbers, whatever the width; wider inputs take
+    more passes. The driver holds the square of the width, which the model sets.
+    """
     shards = min(df.sparkSession.sparkContext.defaultParallelism,
                  max(1, df.count() // (_MIN_GRAM_ROWS * width)))
-    sums = df.repartition(shards, "item_id").mapInPandas(run, "i int, vec array<double>").groupBy("i").agg(
-        vector_to_array(Summarizer.sum(array_to_vector(F.col("vec")))).alias("vec"))
+    placed = df.repartition(shards, "item_id")
     out = np.zeros((width, width))
-    for r in sums.collect():
-        out[r["i"]] = r["vec"]
+    for start in range(0, width, _GRAM_BLOCK):
+        stop = min(width, start + _GRAM_BLOCK)
+
+        def run(batches, start=start, stop=stop):
+            total = None
+            for pdf in batches:
+                if len(pdf):
+                    z = np.hstack([_design(pdf, cfg), _matrix(pdf["cf"])])
+                    part = z.T @ z[:, start:stop]
+                    total = part if total is None else total + part
+            if total is not None:
+                yield pd.DataFrame({"i": np.arange(width, dtype=np.int32), "vec": list(total)})
+
+        sums = placed.mapInPandas(run, "i int, vec array<double>").groupBy("i").agg(
+            vector_to_array(Summarizer.sum(array_to_vector(F.col("vec")))).alias("vec"))
+        for r in sums.collect():
+            out[r["i"], start:stop] = r["vec"]
     return out
 
 
@@ -234,14 +237,15 @@ def _ridge_loss(gram: np.ndarray, x: np.ndarray, n_out: int, w: np.ndarray) -> f
     rows = gram[x[-1], x[-1]]
     sq = (np.trace(gram[np.ix_(y, y)]) - 2 * (w * gram[np.ix_(x, y)]).sum()
           + (w * (gram[np.ix_(x, x)] @ w)).sum())
-    return max(float(sq), 0.0) / float(rows * n_out) if rows else math.nan
+    if not rows:
+        raise ValueError("no rows to measure the loss on")
+    return _finite(max(float(sq), 0.0) / float(rows * n_out), "ridge")
 
 
 def _ridge_grams(train: DataFrame, valid: DataFrame, cfg: FusionConfig):
     dims, n_out = _dims(train, cfg)
-    dim = sum(dims.values())
-    width = min(dim, cfg.ridge_cap) + 1 + n_out
-    return dims, n_out, _gram(train, cfg, width, dim), _gram(valid, cfg, width, dim)
+    width = sum(dims.values()) + 1 + n_out
+    return dims, n_out, _gram(train, cfg, width), _gram(valid, cfg, width)
 
 
 def _fit_ridge(train: DataFrame, valid: DataFrame, cfg: FusionConfig) -> FusionModel:
@@ -256,10 +260,12 @@ def fit_fusion(train: DataFrame, valid: DataFrame, cfg: FusionConfig) -> FusionM
     """Fit content columns to `cf`; rows are (`item_id`, one column per modality, `cf`).
 
     solver "mlp": minibatch Adam with warm-up, cosine decay, dropout, best
-    weights by validation loss and early stopping. With one shard (fewer rows
-    than a batch, or `shards=1`) it is plain sequential training; with more,
-    shards are averaged after each epoch.
-    solver "ridge": normal equations from one distributed sum.
+    weights by validation loss and early stopping. `cfg.shards` is part of the
+    algorithm: with one shard (the default) it is plain sequential training,
+    with more, shards train apart and are averaged after each epoch. The result
+    never depends on the cluster or on how the input is partitioned.
+    solver "ridge": normal equations from distributed sums, for any width.
+    An empty validation set or a loss that is not finite is an error.
     """
     require_columns(train, "item_id", "cf", *[cfg.columns[m] for m in net.letters(cfg)])
     solvers = {"mlp": _fit_mlp, "ridge": _fit_ridge}
@@ -270,17 +276,16 @@ def fit_fusion(train: DataFrame, valid: DataFrame, cfg: FusionConfig) -> FusionM
 
 def score_fusion(df: DataFrame, model: FusionModel) -> DataFrame:
     """(`item_id`, `vec`): fitted collaborative vectors of items, dropout off."""
-    cfg, dims = model.cfg, model.dims
+    cfg = model.cfg
     weights = df.sparkSession.sparkContext.broadcast(model.params)  # size set by the network
     type_ = df.schema["item_id"].dataType.simpleString()
 
     def run(batches):
-        project = _projection(sum(dims.values()), cfg) if cfg.solver == "ridge" else None
         for pdf in batches:
             if not len(pdf):
                 continue
             if cfg.solver == "ridge":
-                out = _design(pdf, cfg, project) @ weights.value["ridge.w"]
+                out = _design(pdf, cfg) @ weights.value["ridge.w"]
             else:
                 out = net.predict(weights.value, _inputs(pdf, cfg), cfg)
             yield pd.DataFrame({"item_id": pdf["item_id"].to_numpy(), "vec": list(out.astype(np.float32))})
@@ -298,26 +303,26 @@ def ablation(train: DataFrame, valid: DataFrame, cfg: FusionConfig,
     """One row per modality subset and seed: (`modality`, `seed`, `train_loss`, `valid_loss`).
 
     With `evaluate`, the metric rows it returns for a fitted model are added
-    to each run. Inputs are staged once. Without `evaluate` the ridge solver
+    to each run. Inputs are staged once. The ridge solver has no randomness, so
+    it runs once per subset and its rows have no `seed`; without `evaluate` it
     needs a single pass for all subsets: each one is a block of the Gram sum.
     """
     spark = train.sparkSession
     train, valid = stage(train, "ablation-train"), stage(valid, "ablation-valid")
-    seeds = list(seeds)
+    ridge = cfg.solver == "ridge"
+    seeds = [cfg.seed] if ridge else list(seeds)
     full = "".join(m for m in "vatg" if any(m in s for s in modalities))
-    wide = replace(cfg, modality=full)
+    kinds = "modality string, seed int, train_loss double, valid_loss double"
     rows, tables = [], []
-    if cfg.solver == "ridge" and evaluate is None:
-        dims, n_out, gram, held = _ridge_grams(train, valid, wide)
-        if sum(dims.values()) <= cfg.ridge_cap:
-            starts = dict(zip(dims, np.cumsum([0, *dims.values()])))
-            for name in modalities:
-                x = np.concatenate([np.arange(starts[m], starts[m] + dims[m]) for m in dims if m in name]
-                                   + [[sum(dims.values())]]).astype(int)
-                w = _solve(gram, x, n_out, cfg.ridge)
-                rows += [(name, s, _ridge_loss(gram, x, n_out, w), _ridge_loss(held, x, n_out, w))
-                         for s in seeds]
-            return spark.createDataFrame(rows, "modality string, seed int, train_loss double, valid_loss double")
+    if ridge and evaluate is None:
+        dims, n_out, gram, held = _ridge_grams(train, valid, replace(cfg, modality=full))
+        starts = dict(zip(dims, np.cumsum([0, *dims.values()])))
+        for name in modalities:
+            x = np.concatenate([np.arange(starts[m], starts[m] + dims[m]) for m in dims if m in name]
+                               + [[sum(dims.values())]]).astype(int)
+            w = _solve(gram, x, n_out, cfg.ridge)
+            rows.append((name, cfg.seed, _ridge_loss(gram, x, n_out, w), _ridge_loss(held, x, n_out, w)))
+        return spark.createDataFrame(rows, kinds).drop("seed")
     for name in modalities:
         for s in seeds:
             model = fit_fusion(train, valid, replace(cfg, modality=name, seed=s))
@@ -325,10 +330,11 @@ def ablation(train: DataFrame, valid: DataFrame, cfg: FusionConfig,
             rows.append((name, s, best[1], best[2]))
             if evaluate is not None:
                 tables.append(evaluate(model).withColumns({"modality": F.lit(name), "seed": F.lit(s)}))
-    runs = spark.createDataFrame(rows, "modality string, seed int, train_loss double, valid_loss double")
+    runs = spark.createDataFrame(rows, kinds)
     if not tables:
         return runs
     metrics = tables[0]
     for t in tables[1:]:
         metrics = metrics.unionByName(t)
-    return runs.join(metrics, ["modality", "seed"])
+    out = runs.join(metrics, ["modality", "seed"])
+    return out.drop("seed") if ridge else out

@@ -41,6 +41,11 @@ def drop_stages(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path among the staged tables, for files in another format than Parquet."""
+    return f"{_app_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write `df` once as Parquet and return a scan of it.
 
@@ -48,7 +53,7 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     stays columnar, and survives the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{_app_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

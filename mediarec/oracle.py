@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import math
 
-from mediarec.functions.text import PUNCTUATION
-
+# Fixed values, written out once more so that the two sides check each other.
+MARKS = "-=+,#/?:^.@*\"※~ㆍ!』‘|()[]`'…》”“’·"
 WIDTH = 8  # dimensions of the computed id vectors
 K = 10
 
@@ -180,8 +180,8 @@ TEXT = "coalesce(text, '') || ' ' || array_to_string([lang, source], ', ')"
 
 
 def _cleaned(expr: str) -> str:
-    chars = PUNCTUATION.replace("'", "''")
-    return (f"trim(regexp_replace(translate({expr}, '{chars}', '{' ' * len(PUNCTUATION)}'), "
+    chars = MARKS.replace("'", "''")
+    return (f"trim(regexp_replace(translate({expr}, '{chars}', '{' ' * len(MARKS)}'), "
             f"'{WHITE_SPACE}', ' ', 'g'))")
 
 
@@ -241,6 +241,7 @@ def oracle_sql() -> dict[str, str]:
         "si": f"SELECT slice, media_id, {_id_vector('media_id', 1)} AS iv FROM (SELECT DISTINCT slice, media_id FROM slices)",
         "pred": "SELECT slice, id_no, media_id, round(list_cosine_similarity(uv, iv), 12) AS rating FROM su JOIN si USING (slice)",
     }
+    none_missing = "SELECT *, CAST(0 AS BIGINT) AS users_missing, CAST(0 AS BIGINT) AS items_missing FROM ({})"
     return {
         "project_log": log + f"SELECT {_log_cols(SHOWN_USER)} FROM log",
         "drop_fraud": log + f"SELECT {_log_cols(SHOWN_USER)} FROM log WHERE fraud_level = 0",
@@ -359,6 +360,31 @@ def oracle_sql() -> dict[str, str]:
         "ranking_metrics": _with(*CLEAN, **PREDICTION, **_metrics("known", "pred")) + _averaged(),
         "ranking_metrics_copies": _with(*CLEAN, **PREDICTION, **_metrics(
             "known", "pred", dedupe=False, denominator=f"least(n_rel, {K})")) + _averaged(),
-        "evaluate_slices": _with(*CLEAN, **_day_split("known"), **SLICES, **slice_pred,
-                                 **_metrics("slices", "pred", "slice")) + _averaged("slice"),
+        "evaluate_slices": _with(*CLEAN, **_day_split("known"), all_slices=SLICES["slices"],
+                                 slices="SELECT * FROM all_slices WHERE starts_with(slice, 'test/')", **slice_pred,
+                                 **_metrics("slices", "pred", "slice")) + none_missing.format(_averaged("slice")),
+        "evaluate_all_slices": _with(*CLEAN, **_day_split("known"), **SLICES, **slice_pred,
+                                     **_metrics("slices", "pred", "slice")) + none_missing.format(_averaged("slice")),
+        "source_log": log + f"SELECT {_log_cols(SHOWN_USER)} FROM log",
+        "source_counts": """SELECT l_orderkey AS user_id, 't' || l_partkey AS track_id,
+            CASE WHEN l_linenumber = 7 THEN -1 ELSE CAST(trunc(l_quantity) AS BIGINT) END AS count FROM lineitem""",
+        "source_counts_malformed": "SELECT count(*) AS rows, count(*) FILTER (l_linenumber = 7) AS malformed FROM lineitem",
+        "source_wide_features": vec + _elements("(SELECT id AS item_id, 'vision' AS modality, vec FROM v)", "vec", "item_id", "modality"),
+        "source_catalog": f"""SELECT 'm' || p_partkey AS item_id,
+            {_r('CASE WHEN p_size = 13 THEN -1.0 ELSE p_retailprice END', 'min')}, p_name AS title FROM part""",
+        "source_id_map": "SELECT 'm' || p_partkey AS id, CAST(p_size AS BIGINT) AS idx FROM part",
+        "source_slice": _with(*CLEAN, **_day_split("known"), **SLICES)
+        + f"SELECT slice, media_id, id_no, {_r('score')} FROM slices WHERE slice IN ('test/cold', 'train/warm')",
+        "source_slice_array": SPLIT_LOG + f"SELECT media_id, id_no, {_r('score')} FROM splitlog",
+        "source_split_ids": """SELECT 'm' || p_partkey AS id,
+            CASE WHEN p_size > 40 THEN 'TEST' WHEN p_size > 30 THEN 'VALID' ELSE 'TRAIN' END AS split FROM part""",
+        "sink_stage": "SELECT * FROM supplier",
+        "sink_manifest": SPLIT_LOG + f"SELECT * FROM ({manifest}) WHERE (split, id_set) IN (('test', 'all_user'), ('train', 'warm_item'))",
+        "sink_vectors": feats + _elements("(SELECT * FROM f WHERE modality IN ('audio', 'genres'))", "vec", "item_id", "modality"),
+        "sink_factors": vec + _elements("v", "vec", "id"),
+        "sink_results": _with(*CLEAN, **PREDICTION, **_metrics("known", "pred")) + _averaged(),
+        "source_file_inventory": "SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS nation FROM customer",
+        "parsed_floats": f"""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, dim, {_r('CAST(val AS FLOAT)', 'val')} FROM (
+            SELECT *, CAST(0 AS BIGINT) AS dim, trunc(l_extendedprice) AS val FROM lineitem
+            UNION ALL SELECT *, 1, l_discount FROM lineitem)""",
     }

@@ -11,11 +11,12 @@ from mediarec.config import AlsConfig, CoreConfig, FusionConfig, SplitConfig, St
 from mediarec.functions.labels import label_index
 from mediarec.functions.signal import frame_rows, frame_sequence, mean_square, power_normalize, scale_power, signal_power
 from mediarec.functions.text import clean_text, item_text
-from mediarec.functions.vectors import concat_modalities, cosine, l2_normalize
+from mediarec.functions.vectors import concat_modalities, cosine, l2_normalize, parse_floats
 from mediarec.operators import (
     degrees, exports, factorization, features, filters, fusion, indexing, metadata, ranking, retrieval, splitting)
-from mediarec.operators.staging import stage
+from mediarec.operators.staging import fresh_path, stage
 from mediarec.plans import factorize as factorize_plan, prepare as prepare_plan
+from mediarec.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -502,13 +503,23 @@ def ranking_metrics_copies(spark, sf):
                                          map_denominator="min"))
 
 
-@_query
-def evaluate_slices(spark, sf):
+def _slices(spark, sf):
     log = stage(_split(spark, sf).select("media_id", "id_no", "score", "split", "wc_split"), "split-log")
     slices = stage(exports.export_slices(log, X.meta(spark, sf)), "slices")
     users = X.id_vectors(metadata.distinct_ids(log, "id_no"), "id_no", 0)
     items = X.id_vectors(metadata.distinct_ids(log, "media_id"), "media_id", 1)
-    return _flat(ranking.evaluate_slices(slices, users, items, 10))
+    return slices, users, items
+
+
+@_query
+def evaluate_slices(spark, sf):
+    """The test slices, as the reference job evaluates them."""
+    return _flat(ranking.evaluate_slices(*_slices(spark, sf), 10))
+
+
+@_query
+def evaluate_all_slices(spark, sf):
+    return _flat(ranking.evaluate_slices(*_slices(spark, sf), 10, splits=None))
 
 
 # Regression ---------------------------------------------------------------------------
@@ -551,3 +562,146 @@ def ablation_mlp(spark, sf):
     _, train, valid = _train_valid(spark, sf)
     cfg = FusionConfig(hidden=32, epochs=2, warmup_epochs=1, lr=1e-3)
     return _flat(fusion.ablation(train, valid, cfg, seeds=[0]))
+
+
+# Sources and sinks: whole tables written in the stored format and read back ---------------
+
+@_query
+def source_log(spark, sf):
+    path = fresh_path(spark, "log")
+    sinks.write_stage(X.log(spark, sf).withColumn("watch_time", F.col("watch_time").cast("string")), path)
+    return _shown(readers.read_log(spark, path))
+
+
+def _counts_file(spark, sf):
+    """Tab-separated counts, bz2; every seventh line number has a count that is no number."""
+    path = fresh_path(spark, "counts")
+    item = X.table(spark, sf, "lineitem")
+    count = F.when(F.col("l_linenumber") == 7, "many").otherwise(F.col("l_quantity").cast("long").cast("string"))
+    item.select(F.col("l_orderkey").alias("user_id"), F.concat(F.lit("t"), "l_partkey").alias("track_id"), count.alias("count")).write.csv(
+        path, sep="\t", header=True, compression="bzip2")
+    return path
+
+
+@_query
+def source_counts(spark, sf):
+    df = readers.read_counts(spark, _counts_file(spark, sf))
+    return _flat(df.withColumn("count", F.coalesce("count", F.lit(-1))))
+
+
+@_query
+def source_counts_malformed(spark, sf):
+    return _flat(readers.count_malformed(spark, _counts_file(spark, sf)))
+
+
+@_query
+def source_wide_features(spark, sf):
+    path = fresh_path(spark, "wide")
+    vec = X.vectors(spark, sf)
+    vec.select("id", *[F.element_at("vec", i + 1).alias(f"f{i}") for i in range(64)]).write.csv(
+        path, sep="\t", header=True, compression="bzip2")
+    return _elements(readers.read_wide_features(spark, path, "vision"), "vec", "item_id", "modality")
+
+
+@_query
+def source_catalog(spark, sf):
+    path = fresh_path(spark, "catalog")
+    part = X.table(spark, sf, "part")
+    price = F.when(F.col("p_size") == 13, "unknown").otherwise(F.col("p_retailprice").cast("string"))
+    part.select(F.concat(F.lit("m"), "p_partkey").alias("first"), price.alias("min"), F.col("p_name").alias("title")).write.csv(path, header=True)
+    return _flat(readers.read_catalog(spark, path).withColumn("min", F.coalesce("min", F.lit(-1.0))))
+
+
+@_query
+def source_id_map(spark, sf):
+    """One JSON object per brand, each a file of its own."""
+    path = fresh_path(spark, "id-map")
+    entry = F.struct(F.concat(F.lit("m"), "p_partkey"), F.col("p_size").cast("int"))
+    X.table(spark, sf, "part").groupBy("p_brand").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).select(
+        "value").write.option("maxRecordsPerFile", 1).text(path)
+    return _flat(readers.read_id_map(spark, path))
+
+
+@_query
+def source_slice(spark, sf):
+    path = fresh_path(spark, "slices")
+    sinks.write_slices(exports.export_slices(_split(spark, sf)), path)
+    read = [readers.read_slice(spark, path, name).withColumn("slice", F.lit(name)) for name in ("test/cold", "train/warm", "train/cold")]
+    return _flat(read[0].unionByName(read[1]).unionByName(read[2]))
+
+
+@_query
+def source_slice_array(spark, sf):
+    """Slices as JSON arrays of records, one file per split."""
+    path = fresh_path(spark, "slice-array")
+    record = F.struct("media_id", "id_no", "score")
+    _split(spark, sf).groupBy("upload_ds").agg(F.to_json(F.collect_list(record)).alias("value")).select(
+        "value").write.option("maxRecordsPerFile", 1).text(path)
+    return _flat(readers.read_slice(spark, path))
+
+
+@_query
+def source_split_ids(spark, sf):
+    path = fresh_path(spark, "split-ids")
+    part = X.table(spark, sf, "part").select(
+        F.concat(F.lit("m"), "p_partkey").alias("id"), F.when(F.col("p_size") > 40, "test_track").when(
+            F.col("p_size") > 30, "valid_track").otherwise("train_track").alias("key"), "p_brand")
+    sets = part.groupBy("p_brand").agg(*[
+        F.collect_list(F.when(F.col("key") == k, F.col("id"))).alias(k) for k in readers.MANIFEST_KEYS.values()])
+    sets.select(F.to_json(F.struct(*readers.MANIFEST_KEYS.values())).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    parts = [readers.read_split_ids(spark, path, k).withColumn("split", F.lit(k)) for k in readers.MANIFEST_KEYS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@_query
+def sink_stage(spark, sf):
+    path = fresh_path(spark, "plain")
+    sinks.write_stage(X.table(spark, sf, "supplier"), path, compression="none")
+    return spark.read.parquet(path)
+
+
+@_query
+def sink_manifest(spark, sf):
+    path = fresh_path(spark, "manifest")
+    sinks.write_manifest(exports.split_manifest(_split(spark, sf)), path)
+    sets = [readers.read_manifest(spark, path, s, i).withColumns({"split": F.lit(s), "id_set": F.lit(i)})
+            for s, i in (("test", "all_user"), ("train", "warm_item"))]
+    return sets[0].unionByName(sets[1])
+
+
+@_query
+def sink_vectors(spark, sf):
+    path = fresh_path(spark, "vectors")
+    sinks.write_vectors(X.features(spark, sf), path)
+    return _elements(readers.read_vectors(spark, path, "audio", "genres"), "vec", "item_id", "modality")
+
+
+@_query
+def sink_factors(spark, sf):
+    path = fresh_path(spark, "factors")
+    sinks.write_factors(X.vectors(spark, sf).withColumn("vec", F.transform("vec", lambda x: x.cast("float"))), path)
+    return _elements(readers.read_factors(spark, path), "vec", "id")
+
+
+@_query
+def sink_results(spark, sf):
+    path = fresh_path(spark, "results")
+    sinks.write_results(ranking.ranking_metrics(*_truth_and_prediction(spark, sf), 10), path)
+    return _flat(spark.read.json(path).select("n_users", "precision", "recall", "ndcg", "map"))
+
+
+@_query
+def source_file_inventory(spark, sf):
+    """Files written one per customer nation, counted by name."""
+    path = fresh_path(spark, "files")
+    X.table(spark, sf, "customer").select("c_nationkey", F.col("c_custkey").cast("string")).repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    found = readers.file_inventory(spark, path, ".txt")
+    return found.select(F.regexp_extract("path", "c_nationkey=([0-9]+)", 1).cast("long").alias("nation")).distinct()
+
+
+@_query
+def parsed_floats(spark, sf):
+    """Numbers from text."""
+    text = F.array(F.col("l_extendedprice").cast("int").cast("string"), F.col("l_discount").cast("string"))
+    item = X.table(spark, sf, "lineitem")
+    return _elements(item.select("l_orderkey", "l_linenumber", parse_floats(text).alias("v")), "v", "l_orderkey", "l_linenumber")

@@ -18,10 +18,18 @@ def write_stage(df: DataFrame, path: str, mode: str = "errorifexists", **options
     df.write.mode(mode).options(**options).parquet(path)
 
 
-def write_slices(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Ground-truth slices as JSON records, one folder per slice."""
+# Fixed value: the slice that is written although no row belongs to it.
+EMPTY_SLICES = ("train/cold",)
+
+
+def write_slices(df: DataFrame, path: str, mode: str = "errorifexists", always: tuple[str, ...] = EMPTY_SLICES) -> None:
+    """Ground-truth slices as JSON records, one folder per slice; those in `always` get a folder even without rows."""
     require_columns(df, "slice", "media_id", "id_no", "score")
     df.hint("rebalance", "slice").write.mode(mode).partitionBy("slice").json(path)
+    spark = df.sparkSession
+    for name in always:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/slice={name.replace('/', '%2F')}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
 
 
 def write_manifest(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

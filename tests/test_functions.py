@@ -107,3 +107,26 @@ def test_feature_joins(spark):
     assert kept.count() == 2 and tuple(counts.first()) == (2, 3)
     done = spark.createDataFrame([("2",), ("9",)], "id string")
     assert rows(features.pending_items(ids, done)) == [("1",), ("3",), ("4",)]
+
+
+def test_frame_rows_keep_positions(spark):
+    df = spark.createDataFrame([(1, 0, 1.0), (1, 5, 2.0), (1, 9, 3.0), (1, -1, 9.0), (2, 20, 4.0)], "id int, pos int, x double")
+    got = {(r["id"], r["frame"]): r["samples"] for r in signal.frame_rows(df, "id", "pos", "x", 2, 8).collect()}
+    assert got[1, 0] == [1.0, 0, 0, 0, 0, 2.0, 0, 0] and got[1, 1] == [0, 3.0, 0, 0, 0, 0, 0, 0]
+    assert got[2, 0] == got[2, 1] == [0.0] * 8
+    twice = df.unionByName(df.where("pos = 5"))
+    with pytest.raises(Exception, match="given twice"):
+        signal.frame_rows(twice, "id", "pos", "x", 2, 8).collect()
+
+
+def test_assembly_moves_vectors_once(spark):
+    feats = spark.createDataFrame([("a", "v", [1.0]), ("a", "w", [2.0]), ("b", "v", [3.0])], "item_id string, modality string, vec array<double>")
+    factors = spark.createDataFrame([("a", [0.0]), ("b", [0.0])], "id string, vec array<double>")
+    ids = factors.select("id")
+    rows_, counts = features.assemble_modalities(feats, factors, ids, ["v", "w"])
+    plan = rows_._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    assert [tuple(r) for r in rows_.collect()] == [("a", [1.0], [2.0], [0.0])] and tuple(counts.first()) == (2, 1, 1)
+    again = feats.unionByName(feats.where("item_id = 'a' and modality = 'v'"))
+    with pytest.raises(Exception, match="two vectors of v"):
+        features.assemble_modalities(again, factors, ids, ["v", "w"])[0].collect()

@@ -106,3 +106,8 @@ def test_modalities(spark):
                                 "id string, modality string")
     df = spark.createDataFrame([("1",), ("1",), ("2",), ("3",), ("4",)], "media_id string")
     assert rows(exports.require_modalities(df, inv, ["vision", "audio"])) == [("1",), ("1",)]
+
+
+def test_histories_leave_out_null_items(spark):
+    df = spark.createDataFrame([("u", "a"), ("u", None), (None, "a")], "id_no string, media_id string")
+    assert [tuple(r) for r in exports.user_histories(df, 10).collect()] == [("u", 0, ["a"], [1])]
