@@ -8,7 +8,7 @@ i serves coordinate i - size alone. Hence no coordinate stays empty, the rounds
 stop as soon as all are filled (one or two for most texts), and the share of
 equal coordinates estimates the Jaccard similarity with concentration bounds.
 
-Sketches are cut into bands; texts that agree on a band are candidates. With
+The first coordinates are cut into bands; texts that agree on a band are candidates. With
 32 bands of 4 a pair of similarity 0.75 is missed with probability 5e-6.
 
 Groups of any size are handled without listing their pairs:
@@ -20,8 +20,9 @@ Groups of any size are handled without listing their pairs:
    component is finished, copies and near copies of one text mostly are.
 4. For other buckets, members outside the bucket's largest component are
    compared with all its members, in square blocks of bounded size, on their
-   sketches; only pairs of different components whose estimate is within
-   reach of the threshold come out, and are verified on full sets.
+   sketches, each pair in the first band it shares; only pairs of different
+   components whose estimate is within reach of the threshold come out, and
+   are verified on full sets.
 
 Step 4 is complete, so no link is lost that banding finds. Links and labels
 stay in tables; the driver sees counts only.
@@ -53,10 +54,11 @@ _ODD = np.uint64(_STEP)
 
 @dataclass(frozen=True)
 class SketchConfig:
-    size: int = 128          # coordinates, a power of two
+    size: int = 512          # coordinates, a power of two
+    bands: int = 32          # bands cut from the first coordinates
     rows: int = 4            # coordinates per band
     percent: int = 75        # linked from this Jaccard similarity on
-    margin: float = 0.15     # estimates this far below it still get verified: four standard deviations
+    margin: float = 0.08     # estimates this far below it still get verified: four standard deviations
     block: int = 512         # members per side of a block
 
 
@@ -82,33 +84,38 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(key)
 
 
+def _thrown(items: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """(coordinate bits, rank) of all items in rounds first..last-1; a lower round always ranks lower."""
+    rounds = np.arange(first, last, dtype=np.uint64)[:, None]
+    x = mixed(items[None, :] + (rounds + np.uint64(1)) * _ODD)
+    return x, (rounds << np.uint64(48)) | (x >> np.uint64(16))
+
+
 def sketch(items: np.ndarray, size: int) -> np.ndarray:
-    """Fast similarity sketch of a non-empty set: `size` values of (round, hash)."""
-    out = np.full(size, np.iinfo(np.uint64).max, np.uint64)
-    filled = np.zeros(size, bool)
-    for i in range(2 * size):
-        x = mixed(items + np.uint64((i + 1) * _STEP & 0xFFFFFFFFFFFFFFFF))
-        rank = (np.uint64(i) << np.uint64(48)) | (x >> np.uint64(16))
-        if i < size:
-            place = (x & np.uint64(size - 1)).astype(np.intp)
-            if i:  # a coordinate filled in an earlier round is final
-                open_ = ~filled[place]
-                place, rank = place[open_], rank[open_]
-            np.minimum.at(out, place, rank)
-            filled[place] = True
-        elif not filled[i - size]:
-            out[i - size] = rank.min()
-            filled[i - size] = True
-        if filled.all():
-            break
+    """Fast similarity sketch of a non-empty set: `size` values of (round, hash).
+
+    Rounds are thrown several at a time, as many as will likely fill all
+    coordinates; the rank holds the round, so taking the smallest is the same
+    as throwing them one by one.
+    """
+    empty = np.uint64(np.iinfo(np.uint64).max)
+    out = np.full(size, empty)
+    done, step = 0, max(1, int(1.2 * size * np.log(size)) // len(items))
+    while done < size and (out == empty).any():
+        last = min(size, done + step)
+        x, rank = _thrown(items, done, last)
+        np.minimum.at(out, (x & np.uint64(size - 1)).ravel().astype(np.intp), rank.ravel())
+        done, step = last, max(1, step // 4)
+    for k in np.flatnonzero(out == empty):
+        out[k] = _thrown(items, size + int(k), size + int(k) + 1)[1].min()
     return out
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], config: SketchConfig) -> Iterator[pa.RecordBatch]:
-    bands = config.size // config.rows
+    bands = config.bands
     tags = mixed(np.arange(1, bands + 1, dtype=np.uint64) * _ODD)
     for batch in batches:
-        n, node, band, sig = [], [], [], []
+        n, node, band, sig, marks = [], [], [], [], []
         for text in batch.column("text").to_pylist():
             items = shingles(text)
             n.append(len(items))
@@ -116,25 +123,30 @@ def _sketches(batches: Iterator[pa.RecordBatch], config: SketchConfig) -> Iterat
                 node.append(None)
                 band.append(None)
                 sig.append(None)
+                marks.append(None)
                 continue
             s = sketch(items, config.size)
             key = tags.copy()
-            for column in s.reshape(bands, config.rows).T:
+            for column in s[:bands * config.rows].reshape(bands, config.rows).T:
                 key = mixed(key * _ODD + column)
             node.append(xxhash.xxh3_128_digest(items.tobytes()))
             band.append(key.view(np.int64))
+            marks.append(key.astype("<u4").tobytes())
             sig.append((mixed(s) & np.uint64(255)).astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(band, pa.list_(pa.int64())),
-             pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "node", "bands", "sig"])
+             pa.array(sig, pa.binary()), pa.array(marks, pa.binary())], names=["doc_id", "n_shingles", "node", "bands", "sig", "marks"])
 
 
 def with_sketches(docs: DataFrame, config: SketchConfig = SketchConfig()) -> DataFrame:
-    """(doc_id, n_shingles, node, bands, sig): one narrow row per document, texts stay where they are."""
+    """(doc_id, n_shingles, node, bands, sig, marks): one narrow row per document, texts stay where they are.
+
+    `sig` has 8 bits of every coordinate, `marks` 32 bits of every band.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
         lambda batches: _sketches(batches, config),
-        f"doc_id {kind}, n_shingles bigint, node binary, bands array<bigint>, sig binary")
+        f"doc_id {kind}, n_shingles bigint, node binary, bands array<bigint>, sig binary, marks binary")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +179,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, config: Sketch
     near = stage(pairs.join(one, "a").join(two, "b").where(enough)
                  .where(_agreement("sig_a", "sig_b") >= config.percent / 100 - config.margin)
                  .select("a", "b", "n_a", "n_b", "f_a", "f_b"), "near-candidates")
-    ids = near.select(F.explode(F.array("f_a", "f_b")).alias("doc_id")).distinct()
+    ids = near.select(F.col("f_a").alias("doc_id")).unionAll(near.select("f_b")).distinct()
     items = (docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text")
              .mapInArrow(_sets, "node binary, items array<bigint>").dropDuplicates(["node"]))
     items = stage(items, "near-sets")
@@ -216,10 +228,17 @@ def _block_pairs(config: SketchConfig):
         ly, ny = all_["label"].to_numpy(), all_["n"].to_numpy()
         node_y = all_["node"].to_numpy()
         found_a, found_b = [], []
-        for k, (node, label, n) in enumerate(zip(out["node"], out["label"], out["n"])):
-            share = ((y == x[k]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-            ok = (share >= least) & (ly != label) & (100 * np.minimum(ny, n) >= config.percent * np.maximum(ny, n))
-            for other in node_y[ok]:
+        marks = np.frombuffer(b"".join(all_["marks"]), "<u4").reshape(len(all_), -1)
+        band = int(rows["band"].iloc[0])
+        early = 4 * len(x[0]) // 16
+        for k, (node, label, n, own) in enumerate(zip(out["node"], out["label"], out["n"], out["marks"])):
+            ok = np.flatnonzero((ly != label) & (100 * np.minimum(ny, n) >= config.percent * np.maximum(ny, n)))
+            # A pair is looked at in the first band it shares only.
+            ok = ok[~(marks[ok, :band] == np.frombuffer(own, "<u4")[:band]).any(axis=1)]
+            # A quarter of the coordinates first, with twice the margin.
+            ok = ok[(y[ok, :early] == x[k, :early]).mean(axis=1) >= least - config.margin]
+            share = ((y[ok] == x[k]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+            for other in node_y[ok[share >= least]]:
                 found_a.append(min(node, other))
                 found_b.append(max(node, other))
         return pd.DataFrame({"a": found_a, "b": found_b}, dtype=object)
@@ -230,13 +249,13 @@ def _block_pairs(config: SketchConfig):
 def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, config: SketchConfig) -> DataFrame:
     """Pairs of different components that share a bucket and have close sketches (step 4)."""
     tagged = stage(members.join(labels, "node", "left")
-                   .select("bucket", "node", F.coalesce("label", "node").alias("label")), "tagged")
+                   .select("bucket", "band", "node", F.coalesce("label", "node").alias("label")), "tagged")
     per = tagged.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
     # A bucket of two was settled by its pivot.
     mixed_ = per.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top"))
     mixed_ = mixed_.where((F.col("kinds") > 1) & (F.col("m") > 2)).select(
         "bucket", F.col("top.label").alias("main"), "m", (F.col("m") - F.col("top.c")).alias("outsiders"))
-    rows = tagged.join(stage(mixed_, "mixed"), "bucket").join(nodes.select("node", "n", "sig"), "node")
+    rows = tagged.join(stage(mixed_, "mixed"), "bucket").join(nodes.select("node", "n", "sig", "marks"), "node")
     # Blocks are dealt by hash, so that they hold about `block` members each.
     na, nb = (F.greatest(F.lit(1), F.ceil(F.col(c) / config.block)).cast("int") for c in ("outsiders", "m"))
     own = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
@@ -250,7 +269,8 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, config: Ske
             F.lit(True).alias("outside"), F.pmod(own, na).cast("int").alias("i"), j.alias("j")))
 
     sides = F.when(F.col("label") == F.col("main"), as_member()).otherwise(F.concat(as_member(), as_outsider()))
-    dealt = rows.select("bucket", "node", "label", "n", "sig", F.explode(sides).alias("s")).select("bucket", "s.*", "node", "label", "n", "sig")
+    dealt = rows.select("bucket", "band", "node", "label", "n", "sig", "marks", F.explode(sides).alias("s")).select(
+        "bucket", "band", "s.*", "node", "label", "n", "sig", "marks")
     return dealt.groupBy("bucket", "i", "j").applyInPandas(_block_pairs(config), "a binary, b binary").distinct()
 
 
@@ -260,8 +280,8 @@ def linked(docs: DataFrame, config: SketchConfig = SketchConfig()) -> DataFrame:
     able = own.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     classes = stage(able.groupBy("node").agg(F.min("doc_id").alias("first")), "classes")
     firsts = able.join(classes, ["node"]).where(F.col("doc_id") == F.col("first")).dropDuplicates(["node"])
-    nodes = stage(firsts.select("node", "first", F.col("n_shingles").alias("n"), "sig", "bands"), "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("bucket"))
+    nodes = stage(firsts.select("node", "first", F.col("n_shingles").alias("n"), "sig", "marks", "bands"), "nodes")
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
     members = stage(banded.join(sizes, "bucket"), "members")
     met = members.groupBy("node").agg(F.sum("m").alias("met"))
@@ -271,7 +291,7 @@ def linked(docs: DataFrame, config: SketchConfig = SketchConfig()) -> DataFrame:
              .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
     nodes = nodes.drop("bands")
     links = verified(pairs, nodes, docs, config)
-    more = verified(_across(members.select("bucket", "node"), components(links), nodes, config), nodes, docs, config)
+    more = verified(_across(members.select("bucket", "band", "node"), components(links), nodes, config), nodes, docs, config)
     labels = components(links.unionAll(more))
     # A class without links is its own component; one smallest id per component.
     marked = classes.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
