@@ -30,11 +30,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mediarec.llm.common import fresh, words
+from mediarec.llm.common import fresh
 from mediarec.operators.staging import stage
 
 # A word with a digit in it, without backtracking.
 _VARIABLE = "(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D0-9]*+[0-9][^\\x20\\x09-\\x0D]*"
+_ODD_GAPS = ("  ", "\t", "\r", "\x0b", "\x0c")
 WILDCARD = "<*>"
 
 
@@ -49,14 +50,30 @@ class TemplateConfig:
     passage_docs: int = 2
 
 
+def _even(text: Column) -> Column:
+    """Single spaces between words. Most texts have no others, so a search decides before the replacement."""
+    odd = F.lit(False)
+    for gap in _ODD_GAPS:
+        odd = odd | F.contains(text, F.lit(gap))
+    return F.when(odd, F.regexp_replace(text, "[\\x20\\x09\\x0B-\\x0D]+", " ")).otherwise(text)
+
+
+def _masked(even: Column) -> Column:
+    """Words with a digit replaced by the wildcard."""
+    return F.when(even.rlike("[0-9]"), F.regexp_replace(even, _VARIABLE, WILDCARD)).otherwise(even)
+
+
+def _lines(masked: Column) -> Column:
+    return F.transform(F.split(masked, "\n", -1), lambda line: F.trim(line))
+
+
 def masked_lines(text: Column) -> Column:
-    """Token arrays of the lines of a text, variable words replaced; one array per line."""
-    return F.transform(F.split(F.regexp_replace(text, _VARIABLE, WILDCARD), "\n", -1), words)
+    """Lines of a text with single spaces and variable words replaced."""
+    return _lines(_masked(_even(text)))
 
 
-def line_id(tokens: Column) -> Column:
-    """Hash of a masked line; null where the line is too short to count."""
-    return F.xxhash64(tokens)
+def line_id(line: Column) -> Column:
+    return F.xxhash64(line)
 
 
 def _parts(tokens: Column, n: Column, config: TemplateConfig) -> Column:
@@ -68,10 +85,14 @@ def _parts(tokens: Column, n: Column, config: TemplateConfig) -> Column:
 
 def parsed(docs: DataFrame, config: TemplateConfig = TemplateConfig()) -> DataFrame:
     """One row per countable line: doc, body (hash of the whole text), line, leaf, n, parts."""
+    # Step by step, so that each is evaluated once.
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"),
-                       F.xxhash64("text").alias("body"), F.explode(masked_lines(F.col("text"))).alias("tokens"))
-    sized = base.withColumn("n", F.size("tokens")).where(F.col("n") >= config.min_tokens)
-    return sized.select("doc", "body", line_id(F.col("tokens")).alias("line"),
+                       F.xxhash64("text").alias("body"), _even(F.col("text")).alias("even"))
+    base = base.select("doc", "body", _masked(F.col("even")).alias("masked")).select(
+        "doc", "body", F.explode(_lines(F.col("masked"))).alias("shape"))
+    sized = (base.where(F.col("shape") != "").withColumn("tokens", F.split("shape", " ", -1)).withColumn("n", F.size("tokens"))
+             .where(F.col("n") >= config.min_tokens))
+    return sized.select("doc", "body", line_id(F.col("shape")).alias("line"),
                         F.xxhash64("n", F.slice("tokens", 1, config.depth)).alias("leaf"), "n",
                         _parts(F.col("tokens"), F.col("n"), config).alias("parts"))
 
@@ -118,19 +139,19 @@ def marked(docs: DataFrame, config: TemplateConfig = TemplateConfig(), out: str
     return keyed.join(drops.withColumnRenamed("d", key), key, "left").select(*docs.columns, out)
 
 
-def kept_lines(text: Column, gone: Column, config: TemplateConfig = TemplateConfig()) -> Column:
-    """The lines of `text` that are not to go, as an array."""
-    lines, tokens = F.split(text, "\n", -1), masked_lines(text)
-    pairs = F.arrays_zip(lines.alias("line"), tokens.alias("tokens"))
-    left = F.filter(pairs, lambda p: (F.size(p["tokens"]) < config.min_tokens) | ~F.array_contains(gone, line_id(p["tokens"])))
-    return F.transform(left, lambda p: p["line"])
+def kept_lines(text: Column, gone: Column) -> Column:
+    """The lines of `text` that are not to go, as an array; null if none is to go."""
+    # `gone` holds ids of lines long enough to count only.
+    pairs = F.arrays_zip(F.split(text, "\n", -1).alias("line"), masked_lines(text).alias("shape"))
+    left = F.filter(pairs, lambda p: ~F.array_contains(gone, line_id(p["shape"])))
+    return F.when(gone.isNotNull(), F.transform(left, lambda p: p["line"]))
 
 
 def drop_recurring(docs: DataFrame, config: TemplateConfig = TemplateConfig()) -> DataFrame:
     """`docs` with the lines of recurring templates dropped from `text`; `n_chars`, if there, is brought up to date."""
     (gone,) = fresh(docs, "gone")
     found = marked(docs, config, gone)
-    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept_lines(F.col("text"), F.col(gone), config), "\n"))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept_lines(F.col("text"), F.col(gone)), "\n"))
     out = found.withColumn("text", text)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

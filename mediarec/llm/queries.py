@@ -40,9 +40,8 @@ def op3_best_two_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 def op4_line_templates(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's text without the lines of recurring templates."""
-    config = line_templates.TemplateConfig()
-    found = line_templates.marked(_documents(spark, sf), config)
-    found = found.withColumn("left", line_templates.kept_lines(F.col("text"), F.col("gone"), config))
+    found = line_templates.marked(_documents(spark, sf))
+    found = found.withColumn("left", line_templates.kept_lines(F.col("text"), F.col("gone")))
     lines = F.size(F.split("text", "\n", -1)).cast("long")
     kept = F.when(F.col("gone").isNull(), lines).otherwise(F.size("left").cast("long"))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join("left", "\n"))
