@@ -19,6 +19,7 @@ packed like different ones; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,22 +28,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from mediarec.llm.word_cache import portions, word_cache
+from mediarec.llm.word_cache import LetterCache, portions, word_cache
 from mediarec.operators.staging import stage
 
 SIZE = 2048
 SALT_ROWS = 10_000
 
 
+# A full stop or comma after anything but an ASCII or Latin-1 letter, a digit or a space: it may belong to a longer run.
+_RUN = re.compile(rb"(?<![a-z0-9 ])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,][ \n]")
+
+
+def _words(text: str | None) -> list[bytes]:
+    """Words that encode one by one like the whole text, for a tokenizer that drops white space and lowers capitals.
+
+    No token, normalization or pattern of such a tokenizer reaches over white
+    space. Lowering ASCII and parting a single mark from its word change
+    nothing either, and leave fewer different words; texts where they might
+    (added tokens in capitals, runs of marks) are only split.
+    """
+    data = (text or "").encode("utf-8", "surrogatepass")
+    if b"<|" not in data:
+        data = data.lower()
+        if not _RUN.search(data):
+            data = data.replace(b", ", b" , ").replace(b". ", b" . ").replace(b".\n", b" .\n")
+    return data.split()
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    cache = word_cache(path)
+    cache = word_cache(path, kind=LetterCache)
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
         ids = batch.column("doc_id")
         at = 0
         for run in portions([t or "" for t in batch.column("text").to_pylist()]):
-            # Splitting on ASCII white space: no token, normalization or pattern of this tokenizer reaches over it.
-            split = [t.encode("utf-8", "surrogatepass").split() for t in run]
+            split = [_words(t) for t in run]
             cache.learn(set().union(*split))
             row, piece, start, length, crc = [], [], [], [], []
             for k, words in enumerate(split):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from array import array
 
 import numpy as np
 
@@ -11,12 +14,12 @@ class WordCache:
     """Ids of words as little-endian unsigned 32-bit bytes, so that a text's ids are one join of its words' bytes.
 
     Right for tokenizers whose result for a text is that of its words one after
-    the other; the caller decides what a word is, and
-    what `prefix` stands before each. The cache starts anew when
-    it holds `most` words, which bounds a worker's memory.
+    the other; the caller decides what a word is, and what `prefix` stands
+    before each. The cache starts anew when it holds `most` words, which bounds
+    a worker's memory.
     """
 
-    def __init__(self, path: str, prefix: str = "", most: int = 250_000):
+    def __init__(self, path: str, prefix: str = "", most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -25,6 +28,10 @@ class WordCache:
         self.prefix, self.most = prefix, most
         self.known: dict[bytes, bytes] = {}
 
+    def encoded(self, words: list[bytes]) -> list[bytes]:
+        done = self.tokenizer.encode_batch_fast([self.prefix + w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in done]
+
     def learn(self, words: set[bytes]) -> None:
         new = list(words - self.known.keys())
         if not new:
@@ -32,21 +39,90 @@ class WordCache:
         if len(self.known) + len(new) > self.most:
             self.known.clear()
             new = list(words)
-        done = self.tokenizer.encode_batch_fast([self.prefix + w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, done))
+        self.known.update(zip(new, self.encoded(new)))
 
     def join(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.known.__getitem__, words))
 
 
-_caches: dict[tuple[str, str], WordCache] = {}
+def _byte_of() -> dict[str, int]:
+    """The characters byte-level vocabularies write bytes as: printable ones themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+class LetterCache(WordCache):
+    """For lower-casing BPE with word ends: common words take a quicker way to the same ids.
+
+    A word of ASCII or Latin-1 letters, perhaps with ASCII punctuation after
+    it, is one pre-token, or two, and normalization only lowers its capitals.
+    Merging by the rank of the merged bytes gives the same ids as merging by
+    the listed pairs if every token's own text encodes to that token (then the
+    last two parts of a token are always its listed pair); this is checked when
+    the vocabulary is read, and other vocabularies take the library's way. The
+    word end is written as a byte that UTF-8 never has.
+    """
+
+    _SIMPLE = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\\[-`{-~]*)")
+    _END = b"\xff"
+
+    def __init__(self, path: str, prefix: str = "", most: int = 400_000):
+        super().__init__(path, prefix, most)
+        self.merge = self._ranked()
+
+    def _ranked(self):
+        import tiktoken
+        from tokenizers import models
+        described = json.loads(self.tokenizer.to_str())["model"]
+        end, vocab = described["end_of_word_suffix"], described["vocab"]
+        if not end:
+            return None
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in described["merges"]]
+        inside = models.BPE(vocab=vocab, merges=pairs)
+        special = set(self.tokenizer.get_added_tokens_decoder())
+        byte, ranks = _byte_of(), {}
+        for token, number in vocab.items():
+            if number in special:
+                continue
+            closed = token.endswith(end) and token != end
+            text = token[:-len(end)] if closed else token
+            own = (self.tokenizer.model if closed else inside).tokenize(text)
+            if [t.id for t in own] != [number]:
+                return None
+            ranks[bytes(byte[c] for c in text) + (self._END if closed else b"")] = number
+        made = [vocab[a + b] for a, b in pairs]
+        # Merges rank by number, after the single bytes and those that close a word.
+        if made != sorted(made) or len(ranks) != len(pairs) + 512 or min(made) < 512:
+            return None
+        return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def encoded(self, words: list[bytes]) -> list[bytes]:
+        if self.merge is None or self.prefix:
+            return super().encoded(words)
+        out: list[bytes | None] = []
+        for w in words:
+            m = self._SIMPLE.fullmatch(w.decode("utf-8", "surrogatepass"))
+            if not m:
+                out.append(None)
+                continue
+            ids = self.merge(m[1].lower().encode() + self._END)
+            if m[2]:
+                ids += self.merge(m[2].encode() + self._END)
+            out.append(array("I", ids).tobytes())
+        hard = [w for w, o in zip(words, out) if o is None]
+        rest = iter(super().encoded(hard) if hard else ())
+        return [next(rest) if o is None else o for o in out]
+
+
+_caches: dict[tuple, WordCache] = {}
 
 
-def word_cache(path: str, prefix: str = "") -> WordCache:
+def word_cache(path: str, prefix: str = "", kind: type[WordCache] = WordCache) -> WordCache:
     """The worker's cache of words with `prefix` before them, for the tokenizer file at `path`."""
-    if (path, prefix) not in _caches:
-        _caches[path, prefix] = WordCache(path, prefix)
-    return _caches[path, prefix]
+    if (path, prefix, kind) not in _caches:
+        _caches[path, prefix, kind] = kind(path, prefix)
+    return _caches[path, prefix, kind]
 
 
 def portions(texts: list, size: int = 1 << 20):
