@@ -26,34 +26,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from mediarec.llm.common import text_of
-from mediarec.llm.word_cache import WordCache, portions, word_cache
+from mediarec.llm.word_cache import ByteCache, portions
 from mediarec.operators.staging import stage
 
 LEAF = 16_384
-# White space next to white space, or at an end.
-_UNEVEN = re.compile(rb"[\t-\r ][ ]|[ ][\t-\r]|^[ ]|[ ]$")
+_PAIRS = [p for w in b"\t\n\x0b\x0c\r " for p in (bytes([w, 32]), bytes([32, w]))]
 # White space beyond ASCII; texts with any take the library's way.
 _WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 # Places where a byte-level pre-token ends in any context, told from two ASCII characters.
 _CUT = re.compile(r"[!-~](?=[ \t-\r])|[A-Za-z](?=[0-9!-/:-@\[-`{-~])|[0-9](?=[A-Za-z!-/:-@\[-`{-~])")
 
 
+def _uneven(data: bytes) -> bool:
+    """Whether a space stands next to white space, or at an end."""
+    return data[:1] == b" " or data[-1:] == b" " or any(p in data for p in _PAIRS)
+
+
 class Encoder:
     """Whole-text encoding with a cache of words."""
 
     def __init__(self, path: str):
-        self.heads: WordCache = word_cache(path)
-        self.rest: WordCache = word_cache(path, " ")
+        self.path = path
+        self.heads = ByteCache(path)
+        self.rest = ByteCache(path, " ", like=self.heads)
         self.tokenizer = self.heads.tokenizer
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
+    def __reduce__(self):
+        return Encoder, (self.path,)
+
     def whole(self, text: str) -> bytes:
         """Ids of `text` by the tokenizers library, as little-endian 32-bit bytes."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def many(self, texts: list[str]) -> list[bytes]:
         data = [t.encode("utf-8", "surrogatepass") for t in texts]
-        split = [None if _UNEVEN.search(d) or _WIDE.search(t) else d.split(b" ") for t, d in zip(texts, data)]
+        split = [None if _uneven(d) or not t.isascii() and _WIDE.search(t) else d.split(b" ") for t, d in zip(texts, data)]
         self.heads.learn({s[0] for s in split if s})
         self.rest.learn(set().union(*[s[1:] for s in split if s]))
         return [self.whole(t) if s is None else self.heads.join(s[:1]) + self.rest.join(s[1:]) for t, s in zip(texts, split)]
