@@ -61,7 +61,7 @@ class AlsConfig:
 class FusionConfig:
     """Content-to-collaborative regression. Letters: v vision, a audio, t lyrics, g genres.
 
-    `shards` decides the algorithm, see `fit_fusion`.
+    `shards` spreads the work only, see `fit_fusion`.
     """
 
     modality: str = "vatg"

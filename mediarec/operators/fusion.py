@@ -1,9 +1,10 @@
 """Regression of content vectors onto collaborative vectors.
 
-Training rows stay on the executors. An epoch is one job: every shard takes
-the current weights, makes its own minibatch steps over its rows, and hands
-back weights in chunks that Spark averages by a grouped aggregate weighted by
-rows. The driver only ever holds the weights, whose size the network sets.
+Training rows stay on the executors. An epoch deals all rows to global
+minibatches by a hash of seed, epoch and item; a step is one job over the rows
+of one minibatch: every task hands back its gradient in chunks that Spark
+averages by a grouped aggregate weighted by rows, and the driver makes the Adam
+step. The driver only ever holds the weights, whose size the network sets.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mediarec.config import FusionConfig
 from mediarec.operators import fusion_net as net
-from mediarec.operators.staging import stage
+from mediarec.operators.staging import drop_path, fresh_path, stage
 from mediarec.schemas import require_columns
 
 _CHUNK = 4096
+_TASK_ROWS = 256  # rows of a minibatch that make a task of their own worth its gradient's size
 _GRAM_BLOCK = 1024  # columns of the Gram matrix summed in one pass
 _MIN_GRAM_ROWS = 4  # rows per Gram column that make a separate partial sum worth its size
 
@@ -97,37 +99,42 @@ def _minibatches(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.Data
         yield held
 
 
-def _epoch_task(cfg: FusionConfig, weights, epoch: int, counts: dict[int, int]):
-    """One pass over a shard: minibatch Adam from the shared weights."""
+class _RowNoise:
+    """Random numbers that depend on the row, not on the task it lands in; one generator per row."""
+
+    def __init__(self, seed: int, epoch: int, keys: Iterable[int]):
+        self.rows = [np.random.default_rng([seed, epoch, int(k) % 2**64]) for k in keys]
+
+    def random(self, shape: tuple[int, int]) -> np.ndarray:
+        return np.vstack([r.random(shape[1]) for r in self.rows])
+
+
+def _step_task(cfg: FusionConfig, params, epoch: int):
+    """Mean gradient over a task's rows of one minibatch."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-        shard = TaskContext.get().partitionId()
-        p, m, v, first = weights.value
-        p, m, v = ({n: a.copy() for n, a in t.items()} for t in (p, m, v))
-        per_epoch = max(math.ceil(counts.get(shard, 1) / cfg.batch), 1)
-        rng = np.random.default_rng([cfg.seed, epoch, shard])
-        steps, rows, total = 0, 0, 0.0
-        for part in _minibatches(batches, cfg.batch):
-            loss, grads = net.loss_and_grad(p, _inputs(part, cfg), _matrix(part["cf"]), cfg, rng)
-            lr = net.learning_rate(epoch + steps / per_epoch, cfg)
-            steps += 1
-            net.adam_step(p, m, v, grads, first + steps, lr)
+        rows, total, summed = 0, 0.0, None
+        for part in _minibatches(batches, _TASK_ROWS):
+            rng = _RowNoise(cfg.seed, epoch, part["key"]) if cfg.dropout else None
+            loss, grads = net.loss_and_grad(params.value, _inputs(part, cfg), _matrix(part["cf"]), cfg, rng)
             rows += len(part)
             total += loss * len(part)
+            grads = {n: g * len(part) for n, g in grads.items()}
+            summed = grads if summed is None else {n: summed[n] + g for n, g in grads.items()}
         if rows:
-            out = [("loss", 0, float(rows), [total / rows, float(steps)])]
-            for kind, table in (("p", p), ("m", m), ("v", v)):
-                out += [(f"{kind}:{n}", i, float(rows), c) for n, a in table.items() for i, c in _chunks(a)]
+            out = [("loss", 0, float(rows), [total / rows])]
+            out += [(n, i, float(rows), c) for n, g in summed.items() for i, c in _chunks(g / rows)]
             yield pd.DataFrame(out, columns=["name", "chunk", "rows", "vec"])
     return run
 
 
 def _averaged(df: DataFrame) -> dict[str, np.ndarray]:
-    """Row-weighted mean of the shards' chunks; the result has the size of the weights."""
+    """Row-weighted mean of the tasks' chunks, and the rows behind it; the result has the size of the weights."""
     mean = Summarizer.mean(array_to_vector(F.col("vec")), F.col("rows"))
     parts: dict[str, dict[int, list]] = {}
-    for r in df.groupBy("name", "chunk").agg(vector_to_array(mean).alias("vec")).collect():
+    for r in df.groupBy("name", "chunk").agg(vector_to_array(mean).alias("vec"), F.sum("rows").alias("rows")).collect():
         parts.setdefault(r["name"], {})[r["chunk"]] = r["vec"]
+        if r["name"] == "loss":
+            parts["rows"] = {0: [r["rows"]]}
     return {n: np.concatenate([c[i] for i in sorted(c)]) for n, c in parts.items()}
 
 
@@ -137,7 +144,7 @@ def _valid_loss(valid: DataFrame, cfg: FusionConfig, params) -> float:
         for pdf in batches:
             if len(pdf):
                 y = _matrix(pdf["cf"])
-                err = net.predict(params.value[0], _inputs(pdf, cfg), cfg) - y
+                err = net.predict(params.value, _inputs(pdf, cfg), cfg) - y
                 yield pd.DataFrame({"sq": [float((err ** 2).sum())], "n": [float(err.size)]})
     row = valid.mapInPandas(run, "sq double, n double").agg(F.sum("sq").alias("sq"), F.sum("n").alias("n")).first()
     if not row["n"]:
@@ -156,28 +163,39 @@ def _fit_mlp(train: DataFrame, valid: DataFrame, cfg: FusionConfig) -> FusionMod
     sc = spark.sparkContext
     cols = ["item_id", *[cfg.columns[m] for m in net.letters(cfg)], "cf"]
     dims, out_dim = _dims(train, cfg)
-    # Hash placement: the shards' rows depend on `cfg.shards` alone, not on the cluster or the input's partitions.
-    placed = train.select(*cols).repartition(cfg.shards, "item_id").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = train.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     held = valid.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    dealt = None
     try:
-        counts = {r["s"]: r["count"] for r in
-                  placed.groupBy(F.spark_partition_id().alias("s")).count().collect()}
+        steps = math.ceil(rows.count() / cfg.batch)
         p = net.init_params(dims, out_dim, cfg)
         m = {n: np.zeros_like(a) for n, a in p.items()}
         v = {n: np.zeros_like(a) for n, a in p.items()}
-        best, best_loss, worse, losses, first = p, math.inf, 0, [], 0
+        best, best_loss, worse, losses, done = p, math.inf, 0, [], 0
         for epoch in range(cfg.epochs):
-            weights = sc.broadcast((p, m, v, first))
-            # All rows of a shard in an order of their own for every epoch; a re-run task sees the same.
-            shuffled = placed.sortWithinPartitions(F.xxhash64("item_id", F.lit(cfg.seed), F.lit(epoch)), "item_id")
-            avg = _averaged(shuffled.mapInPandas(_epoch_task(cfg, weights, epoch, counts), _STEP_SCHEMA))
-            weights.unpersist()
-            p, m, v = ({n: avg[f"{kind}:{n}"].reshape(a.shape) for n, a in p.items()} for kind in "pmv")
-            first += max(int(round(avg["loss"][1])), 1)
-            shared = sc.broadcast((p,))
+            if dealt is None or steps > 1:
+                if dealt is not None:
+                    drop_path(spark, dealt)
+                dealt = _deal(rows, cfg, epoch, steps)
+            table = spark.read.parquet(dealt)
+            total, seen = 0.0, 0.0
+            for step in range(steps):
+                shared = sc.broadcast(p)
+                batch = table.where(F.col("step") == step).drop("step")
+                avg = _averaged(batch.mapInPandas(_step_task(cfg, shared, epoch), _STEP_SCHEMA))
+                shared.unpersist()
+                if not avg:  # the hash dealt no row to this step
+                    continue
+                done += 1
+                p = {n: a.copy() for n, a in p.items()}
+                net.adam_step(p, m, v, {n: avg[n].reshape(a.shape) for n, a in p.items()}, done,
+                              net.learning_rate(epoch + step / steps, cfg))
+                total += avg["loss"][0] * avg["rows"][0]
+                seen += avg["rows"][0]
+            shared = sc.broadcast(p)
             loss = _valid_loss(held, cfg, shared)
             shared.unpersist()
-            losses.append((epoch, _finite(float(avg["loss"][0]), "training"), float(loss)))
+            losses.append((epoch, _finite(float(total / seen), "training"), float(loss)))
             if loss < best_loss:
                 best, best_loss = p, loss
             worse = worse + 1 if loss - best_loss > cfg.min_delta else 0
@@ -185,8 +203,24 @@ def _fit_mlp(train: DataFrame, valid: DataFrame, cfg: FusionConfig) -> FusionMod
                 break
         return FusionModel(cfg, dims, best, losses)
     finally:
-        placed.unpersist()
+        rows.unpersist()
         held.unpersist()
+        if dealt is not None:
+            drop_path(spark, dealt)
+
+
+def _deal(rows: DataFrame, cfg: FusionConfig, epoch: int, steps: int) -> str:
+    """Path of `rows` written in one folder per global minibatch, each in pieces of about `_TASK_ROWS` rows.
+
+    Where a row goes follows from seed, epoch and `item_id` alone.
+    """
+    pieces = max(cfg.shards, math.ceil(min(cfg.batch, rows.count()) / _TASK_ROWS))
+    step = F.pmod(F.xxhash64("item_id", F.lit(cfg.seed), F.lit(epoch)), F.lit(steps)).cast("int")
+    path = fresh_path(rows.sparkSession, "fusion-epoch")
+    (rows.withColumns({"key": F.xxhash64("item_id"), "step": step})
+     .repartition("step", F.pmod(F.xxhash64("item_id", F.lit("piece")), F.lit(pieces)))
+     .write.option("maxRecordsPerFile", _TASK_ROWS).partitionBy("step").parquet(path))
+    return path
 
 
 def _design(pdf: pd.DataFrame, cfg: FusionConfig) -> np.ndarray:
@@ -260,10 +294,12 @@ def fit_fusion(train: DataFrame, valid: DataFrame, cfg: FusionConfig) -> FusionM
     """Fit content columns to `cf`; rows are (`item_id`, one column per modality, `cf`).
 
     solver "mlp": minibatch Adam with warm-up, cosine decay, dropout, best
-    weights by validation loss and early stopping. `cfg.shards` is part of the
-    algorithm: with one shard (the default) it is plain sequential training,
-    with more, shards train apart and are averaged after each epoch. The result
-    never depends on the cluster or on how the input is partitioned.
+    weights by validation loss and early stopping, in synchronous steps: the
+    gradient of a global minibatch is summed over all tasks that hold its rows,
+    so it is plain sequential training at any number of tasks. Minibatches hold
+    `cfg.batch` rows on average. `cfg.shards` is the least number of pieces a
+    minibatch is cut into. The result depends neither on it nor on the cluster
+    or on how the input is partitioned.
     solver "ridge": normal equations from distributed sums, for any width.
     An empty validation set or a loss that is not finite is an error.
     """

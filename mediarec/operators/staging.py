@@ -37,7 +37,12 @@ def _app_folder(spark: SparkSession) -> str:
 
 def drop_stages(spark: SparkSession) -> None:
     """Delete every table this application staged; call it when its results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_app_folder(spark))
+    drop_path(spark, _app_folder(spark))
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete one table this application staged, for loops that stage a table each round."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -139,6 +139,32 @@ def test_one_shard_is_plain_training(data):
     assert np.allclose([r[1] for r in model.losses], losses)
 
 
+def test_steps_are_synchronous_over_many_tasks(data, monkeypatch):
+    """However a minibatch is cut into tasks, the fit is the same, and no task gets all rows."""
+    train, valid = data
+    cfg = replace(SMALL, epochs=2, batch=64, dropout=0.2)
+    whole = fusion.fit_fusion(train, valid, cfg)
+    sizes = train.sparkSession.sparkContext.accumulator(0)
+    tasks = train.sparkSession.sparkContext.accumulator(0)
+    made = fusion._step_task
+
+    def counted(*args):
+        run = made(*args)
+
+        def step(batches):
+            got = list(batches)
+            sizes.add(sum(map(len, got)))
+            tasks.add(1 if got else 0)
+            yield from run(iter(got))
+        return step
+
+    monkeypatch.setattr(fusion, "_step_task", counted)
+    cut = fusion.fit_fusion(train, valid, replace(cfg, shards=4))
+    assert sizes.value == 2 * 128 and tasks.value >= 8
+    assert np.allclose(whole.losses, cut.losses, rtol=0, atol=1e-9)
+    assert all(np.allclose(whole.params[n], cut.params[n], rtol=0, atol=1e-9) for n in whole.params)
+
+
 def test_same_seed_same_result(data):
     train, valid = data
     cfg = replace(SMALL, epochs=3, dropout=0.2)
