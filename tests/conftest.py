@@ -26,9 +26,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return SF
-
-
-def rows(df, *cols):
-    """Sorted tuples of a DataFrame, for comparison."""
-    df = df.select(*cols) if cols else df
-    return sorted((tuple(r) for r in df.collect()), key=repr)

@@ -2,7 +2,7 @@ import random
 from collections import Counter
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from mediarec.operators import degrees

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from mediarec.functions import signal, text, vectors

@@ -3,7 +3,7 @@ from dataclasses import replace
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from mediarec.config import FusionConfig
