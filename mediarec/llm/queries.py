@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mediarec.llm import interpolation, line_templates, merkle, near_duplicates, packing, quality_rules, rule_ensemble, slots, text_density, tree_bpe
+from mediarec.llm import interpolation, line_templates, merkle, near_duplicates, packing, quality_rules, rule_ensemble, slots, text_density, tree_bpe, turn_repair
 from mediarec.llm.common import id_remainder, read
 from mediarec.operators.staging import stage
 
@@ -90,9 +90,14 @@ def op10_tree_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return tree_bpe.digests(_documents(spark, sf), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_big_integer_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation's faults, cheapest edits and the digest of its repaired rows."""
+    return turn_repair.repair(read(spark, sf, "conversations"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_big_integer_repair": turn_repair.oracle()}
