@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mediarec.llm import interpolation, line_templates, merkle, near_duplicates, packing, quality_rules, rule_ensemble, slots, text_density, tree_bpe, turn_repair
+from mediarec.llm import interpolation, line_templates, merkle, near_duplicates, packing, phrase_mining, quality_rules, rule_ensemble, slots, text_density, tree_bpe, turn_repair
 from mediarec.llm.common import id_remainder, read
 from mediarec.operators.staging import stage
 
@@ -95,9 +95,14 @@ def op11_big_integer_repair(spark: SparkSession, sf: str) -> DataFrame:
     return turn_repair.repair(read(spark, sf, "conversations"))
 
 
+def op13_toivonen_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """The first collocations of every language."""
+    return phrase_mining.collocations(_documents(spark, sf, "lang"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_big_integer_repair": turn_repair.oracle()}
+    return {"op11_big_integer_repair": turn_repair.oracle(), "op13_toivonen_phrases": phrase_mining.oracle()}
