@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mediarec.llm import interpolation, line_templates, merkle, near_duplicates, packing, phrase_mining, quality_rules, rule_ensemble, slots, text_density, tree_bpe, turn_repair
+from mediarec.llm import interpolation, line_templates, merkle, near_duplicates, packing, phrase_mining, quality_rules, rule_ensemble, secret_scan, slots, text_density, tree_bpe, turn_repair
 from mediarec.llm.common import id_remainder, read
 from mediarec.operators.staging import stage
 
@@ -95,6 +95,11 @@ def op11_big_integer_repair(spark: SparkSession, sf: str) -> DataFrame:
     return turn_repair.repair(read(spark, sf, "conversations"))
 
 
+def op12_randomness_battery(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets in every text: fixed patterns and strings that test as random."""
+    return secret_scan.spans(_documents(spark, sf))
+
+
 def op13_toivonen_phrases(spark: SparkSession, sf: str) -> DataFrame:
     """The first collocations of every language."""
     return phrase_mining.collocations(_documents(spark, sf, "lang"))
