@@ -59,10 +59,7 @@ class AlsConfig:
 
 @dataclass(frozen=True)
 class FusionConfig:
-    """Content-to-collaborative regression. Letters: v vision, a audio, t lyrics, g genres.
-
-    `shards` spreads the work only, see `fit_fusion`.
-    """
+    """Content-to-collaborative regression. Letters: v vision, a audio, t lyrics, g genres."""
 
     modality: str = "vatg"
     hidden: int = 768
@@ -75,8 +72,9 @@ class FusionConfig:
     patience: int = 30
     min_delta: float = 1e-9
     seed: int = 0
-    shards: int = 1
     solver: str = "mlp"
     ridge: float = 1e-6
+    cg_rounds: int = 1000
+    cg_tolerance: float = 1e-10
     columns: dict[str, str] = field(default_factory=lambda: {
         "v": "vision", "a": "audio", "t": "lyrics", "g": "genres"})

@@ -14,6 +14,8 @@ def build_session(app: str = "mediarec", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Cells of some operators hold a megabyte: batches are bounded by size, not by rows alone.
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
         .config("spark.sql.parquet.filterPushdown", "true")
     )
     if master:

@@ -70,27 +70,40 @@ def test_ridge_recovers_a_linear_map(data):
     assert all(np.allclose(scored[i], want[i], atol=1e-3) for i in want)
 
 
-def test_ridge_in_column_blocks(data, monkeypatch):
+def test_conjugate_gradients_equal_the_normal_equations(data, monkeypatch):
     train, valid = data
     whole = fusion.fit_fusion(train, valid, replace(SMALL, solver="ridge"))
-    monkeypatch.setattr(fusion, "_GRAM_BLOCK", 4)
-    blocks = fusion.fit_fusion(train, valid, replace(SMALL, solver="ridge"))
-    assert np.allclose(whole.params["ridge.w"], blocks.params["ridge.w"])
-
-
-def test_wide_ridge_recovers_the_planted_map(spark):
-    """1,500 inputs take two blocks; nothing is projected away."""
+    monkeypatch.setattr(fusion, "GRAM_WIDTH", 1)
+    monkeypatch.setattr(fusion, "_CELL", 200)
+    rounds = fusion.fit_fusion(train, valid, replace(SMALL, solver="ridge"))
+    assert np.allclose(whole.params["ridge.w"], rounds.params["ridge.w"], atol=1e-7)
+    assert np.allclose(whole.losses[0], rounds.losses[0], atol=1e-9)
+    with pytest.warns(UserWarning, match="after 2 rounds"):
+        fusion.fit_fusion(train, valid, replace(SMALL, solver="ridge", cg_rounds=2))
+    alone = fusion.ablation(train, valid, replace(SMALL, solver="ridge"), ["v", "va"])
+    assert alone.columns == ["modality", "train_loss", "valid_loss"] and alone.count() == 2
+
+
+def test_wide_ridge_recovers_the_planted_map(spark, monkeypatch):
+    """3,000 inputs; nothing is projected away and no array has the square of the width."""
     def noise(i):
         return (F.pmod(F.xxhash64("n", i), F.lit(20001)) - 10000) / 10000.0
 
-    wide = F.transform(F.sequence(F.lit(1), F.lit(1500)), noise)
-    rows_ = spark.range(2000, numPartitions=8).withColumn("n", F.col("id")).select(
+    wide = F.transform(F.sequence(F.lit(1), F.lit(3000)), noise)
+    rows_ = spark.range(3900, numPartitions=8).withColumn("n", F.col("id")).select(
         F.col("id").cast("string").alias("item_id"), wide.alias("vision"))
-    some = [F.element_at("vision", i) * c for i, c in ((1, 2.0), (700, -1.0), (1500, 0.5))]
+    some = [F.element_at("vision", i) * c for i, c in ((1, 2.0), (1400, -1.0), (3000, 0.5))]
     made = rows_.withColumn("cf", F.array(some[0] + some[1], some[2] + 1.0))
-    held = F.col("item_id").cast("int") >= 1900
-    model = fusion.fit_fusion(made.where(~held), made.where(held), FusionConfig(modality="v", solver="ridge"))
-    assert model.params["ridge.w"].shape == (1501, 2) and model.losses[0][2] < 1e-8
+    held = F.col("item_id").cast("int") >= 3800
+    largest = []
+    monkeypatch.setattr(fusion, "_summed", lambda *a, f=fusion._summed, **k: (got := f(*a, **k), largest.append(len(got)))[0])
+    monkeypatch.setattr(fusion, "_gram", None)
+    model = fusion.fit_fusion(made.where(~held), made.where(held), FusionConfig(modality="v", solver="ridge", cg_tolerance=1e-7))
+    w = model.params["ridge.w"]
+    assert w.shape == (3001, 2) and model.losses[0][2] < 1e-8 and max(largest) == 3 * 3001
+    want = np.zeros((3001, 2))
+    want[[0, 1399, 2999, 3000], [0, 0, 1, 1]] = 2.0, -1.0, 0.5, 1.0
+    assert np.abs(w - want).max() < 1e-3
 
 
 def test_result_does_not_depend_on_partitions(data):
@@ -103,28 +116,35 @@ def test_result_does_not_depend_on_partitions(data):
 
 
 @pytest.mark.parametrize("solver", ["mlp", "ridge"])
-def test_no_validation_rows_or_loss_is_an_error(data, solver):
+def test_no_validation_rows_or_loss_is_an_error(data, solver, monkeypatch):
     train, valid = data
     cfg = replace(SMALL, epochs=1, solver=solver)
     with pytest.raises(ValueError):
         fusion.fit_fusion(train, valid.where("false"), cfg)
-    broken = valid.withColumn("cf", F.transform("cf", lambda x: x * float("nan")))
-    with pytest.raises(ValueError):
-        fusion.fit_fusion(train, broken, cfg)
-
-
-@pytest.mark.parametrize("shards", [1, 3])
-def test_training_lowers_both_losses(data, shards):
+    for value in ("nan", "inf"):
+        broken = [d.withColumn("cf", F.transform("cf", lambda x: x * float(value))) for d in data]
+        with pytest.raises(ValueError):
+            fusion.fit_fusion(train, broken[1], cfg)
+        with pytest.raises(ValueError):
+            fusion.fit_fusion(broken[0], valid, cfg)
+    monkeypatch.setattr(fusion, "GRAM_WIDTH", 1)
+    if solver == "ridge":
+        for pair in ((train, broken[1]), (broken[0], valid), (train, valid.where("false"))):
+            with pytest.raises(ValueError):
+                fusion.fit_fusion(*pair, cfg)
+
+
+def test_training_lowers_both_losses(data):
     train, valid = data
-    model = fusion.fit_fusion(train, valid, replace(SMALL, shards=shards, lr=3e-2))
+    model = fusion.fit_fusion(train, valid, replace(SMALL, lr=3e-2))
     first, last = model.losses[0], model.losses[-1]
     assert last[1] < 0.5 * first[1] and last[2] < 0.7 * first[2]
 
 
-def test_one_shard_is_plain_training(data):
+def test_one_batch_is_plain_training(data):
     """With all rows in one batch, an epoch is one full-batch Adam step."""
     train, valid = data
-    cfg = replace(SMALL, shards=1, batch=1000, epochs=3, warmup_epochs=1)
+    cfg = replace(SMALL, batch=1000, epochs=3, warmup_epochs=1)
     model = fusion.fit_fusion(train, valid, cfg)
     local = train.collect()
     x = {"v": np.array([r["vision"] for r in local]), "a": np.array([r["audio"] for r in local])}
@@ -140,11 +160,11 @@ def test_one_shard_is_plain_training(data):
 
 
 def test_steps_are_synchronous_over_many_tasks(data, monkeypatch):
-    """However a minibatch is cut into tasks, the fit is the same, and no task gets all rows."""
+    """However a minibatch is cut into tasks, the fit is the same, and every row counts once an epoch."""
     train, valid = data
     cfg = replace(SMALL, epochs=2, batch=64, dropout=0.2)
     whole = fusion.fit_fusion(train, valid, cfg)
-    sizes = train.sparkSession.sparkContext.accumulator(0)
+    seen = train.sparkSession.sparkContext.accumulator(0)
     tasks = train.sparkSession.sparkContext.accumulator(0)
     made = fusion._step_task
 
@@ -153,14 +173,19 @@ def test_steps_are_synchronous_over_many_tasks(data, monkeypatch):
 
         def step(batches):
             got = list(batches)
-            sizes.add(sum(map(len, got)))
+            seen.add(sum(map(len, got)))
             tasks.add(1 if got else 0)
-            yield from run(iter(got))
+            return run(iter(got))
         return step
 
     monkeypatch.setattr(fusion, "_step_task", counted)
-    cut = fusion.fit_fusion(train, valid, replace(cfg, shards=4))
-    assert sizes.value == 2 * 128 and tasks.value >= 8
+    monkeypatch.setattr(fusion, "_TASK_ROWS", 8)
+    spark = train.sparkSession
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")  # a file or so a task
+    cut = fusion.fit_fusion(train, valid, cfg)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert seen.value == 2 * 128 and tasks.value >= 16
     assert np.allclose(whole.losses, cut.losses, rtol=0, atol=1e-9)
     assert all(np.allclose(whole.params[n], cut.params[n], rtol=0, atol=1e-9) for n in whole.params)
 
