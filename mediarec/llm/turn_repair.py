@@ -11,8 +11,8 @@ ASCII-least audit, shorter ones first; the audit is read off the winner.
 Inserts: replacing an insert and its neighbour in the result by a deletion of
 that neighbour (and of a lone `s` that remains) costs at most 2 * delete more
 than the insert saves, so where insert > 2 * delete no cheapest path has one.
-The DAG then still has one layer of inserts; otherwise it has as many layers as
-rows.
+The DAG has `EditCosts.inserts` layers of inserts: one, unless inserts are made
+cheaper, where it bounds how many a conversation may get.
 
 How it runs on Spark:
 
@@ -42,10 +42,11 @@ import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
-from pyspark import TaskContext
 
 from mediarec.llm.common import HAS_WORD
 from mediarec.operators.staging import stage
@@ -68,10 +69,7 @@ class EditCosts:
     delete: int = 2
     insert: int = 5
     truncated: int = 5          # on top, for a truncated row that is not deleted
-
-    def layers(self, rows: int) -> int:
-        """Inserts a path through `rows` rows may hold."""
-        return 1 if self.insert > 2 * self.delete else rows + 2
+    inserts: int = 1            # most inserts of a conversation; see above
 
 
 Best = list[list[int | None]]   # [inserts][state]
@@ -115,10 +113,10 @@ def _edit(best: Best, row: tuple[str, bool, bool], at: int, width: int, costs: E
     return out
 
 
-def block_weights(rows: Sequence[tuple[str, bool, bool]], entry: int, costs: EditCosts, layers: int) -> Best:
-    """Least weights of the paths through `rows` from state `entry`, per inserts and state; audits have len(rows) + layers places."""
-    width = len(rows) + layers
-    best: Best = [[None] * STATES for _ in range(layers + 1)]
+def block_weights(rows: Sequence[tuple[str, bool, bool]], entry: int, costs: EditCosts) -> Best:
+    """Least weights of the paths through `rows` from state `entry`, per inserts and state; audits have len(rows) + inserts places."""
+    width = len(rows) + costs.inserts
+    best: Best = [[None] * STATES for _ in range(costs.inserts + 1)]
     best[0][entry] = 0
     for at, row in enumerate(rows):
         _insert(best, at, width, costs)
@@ -126,11 +124,12 @@ def block_weights(rows: Sequence[tuple[str, bool, bool]], entry: int, costs: Edi
     return best
 
 
-def chain(blocks: Sequence[tuple[int, Sequence[Best]]], costs: EditCosts, layers: int) -> tuple[int, list[tuple[int, str]]]:
+def chain(blocks: Sequence[tuple[int, Sequence[Best]]], costs: EditCosts) -> tuple[int, list[tuple[int, str]]]:
     """Cost of the cheapest edits, and per block the state on entry and its part of the audit.
 
     A block is its number of rows and its weights from each state.
     """
+    layers = costs.inserts
     best: Best = [[None] * STATES for _ in range(layers + 1)]
     best[0][0] = 0
     rows, back = 0, []
@@ -263,86 +262,93 @@ class _Block:
         self.chars += len(role) + (0 if gone else len(text))
 
     def row(self, part, costs):
-        layers = costs.layers(len(self.rows))
-        weights = [block_weights(self.rows, s, costs, layers) for s in range(STATES)]
+        weights = [block_weights(self.rows, s, costs) for s in range(STATES)]
         flat = [None if w is None else w.to_bytes(w.bit_length() // 8 + 1, "big") for best in weights for layer in best for w in layer]
         return (self.conv, part, self.key, len(self.rows), *self.facts.values(), flat, self.texts)
 
 
-def _blocks(costs: EditCosts, names: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _blocks(costs: EditCosts, schema: pa.Schema):
+    """Rows in order, as blocks of one conversation each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        at, found, key = None, [], 0
-        for pdf in batches:
-            turns = [None if pd.isna(t) else int(t) for t in pdf["turn"]]
-            ids = [None if pd.isna(c) else c for c in pdf["conv_id"]]
-            for conv, turn, *row in zip(ids, turns, *(pdf[c].tolist() for c in ("role", "text", "n", "first", "blank", "cut", "initial"))):
+        at, key = None, 0
+        for batch in batches:
+            found = []
+            for conv, *row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text", "n", "first", "blank", "cut", "initial"))):
                 if at is None or conv != at.conv or len(at.rows) >= BLOCK_ROWS or at.chars >= BLOCK_CHARS:
                     if at is not None:
                         found.append(at.row(part, costs))
                     at, key = _Block(conv, key), key + 1
-                at.add(turn, *row)
-            if found:
-                yield pd.DataFrame(found, columns=names)
-                found = []
+                at.add(*row)
+            yield _batch(found, schema)
         if at is not None:
-            yield pd.DataFrame([at.row(part, costs)], columns=names)
+            yield _batch([at.row(part, costs)], schema)
     return run
 
 
-def _merged(costs: EditCosts, names: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["part", "block"])
-        layers = min(costs.layers(int(n)) for n in pdf["rows"])
-        blocks = []
-        for n, flat in zip(pdf["rows"], pdf["weights"]):
-            flat = [None if w is None else int.from_bytes(w, "big") for w in flat]
-            own = costs.layers(int(n))
-            size = STATES * (own + 1)
-            cut = [flat[s * size:(s + 1) * size] for s in range(STATES)]
-            blocks.append((int(n), [[c[k * STATES:(k + 1) * STATES] for k in range(own + 1)] for c in cut]))
-        cost, parts = chain(blocks, costs, layers)
-        total = {c: int(pdf[c].sum()) for c in ("blank", "duplicate", "truncated", "illegal")}
-        initials = list(zip(pdf["stop"], pdf["start"].iloc[1:]))
-        total["illegal"] += sum(a + b not in ("su", "ua", "au") for a, b in initials)
-        spans = [(int(t), int(a), int(b)) for t, a, b in zip(pdf["turns"], pdf["low"], pdf["high"]) if t]
-        distinct = sum(t for t, _, _ in spans) - sum(a[2] == b[1] for a, b in zip(spans, spans[1:]))
-        gaps = spans[-1][2] - spans[0][1] + 1 - distinct if spans else 0
-        out = [(p, b, state, letters, gaps, *total.values(), cost) for p, b, (state, letters) in zip(pdf["part"], pdf["block"], parts)]
-        made = pd.DataFrame(out, columns=names)
-        made.insert(0, "conv_id", pdf["conv_id"].iloc[0] if len(pdf) else None)
-        return made
+def _chained(conv, blocks: list[tuple], costs: EditCosts) -> list[tuple]:
+    """One row per block of a conversation: its part of the edits, and the counts of the whole."""
+    weights, own = [], costs.inserts + 1
+    for b in blocks:
+        flat = [None if w is None else int.from_bytes(w, "big") for w in b["weights"]]
+        weights.append((b["rows"], [[flat[(s * own + k) * STATES:(s * own + k + 1) * STATES] for k in range(own)] for s in range(STATES)]))
+    cost, parts = chain(weights, costs)
+    total = {c: sum(b[c] for b in blocks) for c in ("blank", "duplicate", "truncated", "illegal")}
+    total["illegal"] += sum(a["stop"] + b["start"] not in ("su", "ua", "au") for a, b in zip(blocks, blocks[1:]))
+    spans = [(b["turns"], b["low"], b["high"]) for b in blocks if b["turns"]]
+    distinct = sum(t for t, _, _ in spans) - sum(a[2] == b[1] for a, b in zip(spans, spans[1:]))
+    gaps = spans[-1][2] - spans[0][1] + 1 - distinct if spans else 0
+    return [(conv, b["part"], b["block"], state, letters, gaps, *total.values(), cost) for b, (state, letters) in zip(blocks, parts)]
+
+
+def _merged(costs: EditCosts, schema: pa.Schema):
+    """Blocks in order of conversation: the edits of each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, blocks = None, []
+        for batch in batches:
+            found = []
+            for block in batch.to_pylist():
+                if blocks and block["conv_id"] != conv:
+                    found += _chained(conv, blocks, costs)
+                    blocks = []
+                conv = block["conv_id"]
+                blocks.append(block)
+            yield _batch(found, schema)
+        if blocks:
+            yield _batch(_chained(conv, blocks, costs), schema)
     return run
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
 _EDITS = "part int, block int, state int, letters string, gaps long, blank long, duplicate long, truncated long, illegal long, cost long"
 _COUNTS = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
 
 
-def _stream(names: list[str]):
+def _stream(schema: pa.Schema):
     """Blocks in order of conversation, each after its edits: one result per conversation."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        conv, counts, letters, hashed, empty = None, None, [], None, True
-        edits = None
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, counts, letters, hashed, edits = None, None, [], None, None
+        for batch in batches:
             found = []
-            ids = [None if pd.isna(c) else c for c in pdf["conv_id"]]
-            for at, texts, state, piece, *own in zip(ids, *(pdf[c].tolist() for c in ("texts", "state", "letters", *_COUNTS))):
-                if piece is not None:
-                    if counts is None or at != conv:
+            for row in batch.to_pylist():
+                if row["letters"] is not None:
+                    if counts is None or row["conv_id"] != conv:
                         if counts is not None:
                             found.append((conv, *counts, "".join(letters), hashed.hexdigest()))
-                        conv, letters, hashed, empty = at, [], hashlib.sha256(), True
-                    counts, edits = [int(x) for x in own], (piece, int(state))
-                    letters.append(piece)
+                        conv, letters, hashed, empty = row["conv_id"], [], hashlib.sha256(), True
+                    counts, edits = [row[c] for c in _COUNTS], (row["letters"], row["state"])
+                    letters.append(row["letters"])
                     continue
-                for line in replay([(t["role"], t["text"], t["n"]) for t in texts], *edits):
+                for line in replay([(t["role"], t["text"], t["n"]) for t in row["texts"]], *edits):
                     hashed.update((line if empty else f"\n{line}").encode("utf-8", "surrogatepass"))
                     empty = False
-            if found:
-                yield pd.DataFrame(found, columns=names)
+            yield _batch(found, schema)
         if counts is not None:
-            yield pd.DataFrame([(conv, *counts, "".join(letters), hashed.hexdigest())], columns=names)
+            yield _batch([(conv, *counts, "".join(letters), hashed.hexdigest())], schema)
     return run
 
 
@@ -362,13 +368,15 @@ def repaired(rows: DataFrame, costs: EditCosts = EditCosts()) -> DataFrame:
     # The sample of the range sort reaches the driver: it holds openings of texts only.
     dealt = faulty.repartitionByRange(tasks, "conv_id", "turn", "role", F.substring("text", 1, 64)).sortWithinPartitions(*order)
     made = schema(_BLOCK)
-    blocks = stage(dealt.mapInPandas(_blocks(costs, made.names), made), "turn-blocks")
+    blocks = stage(dealt.mapInArrow(_blocks(costs, to_arrow_schema(made)), made), "turn-blocks")
     edits = schema(_EDITS)
-    merged = blocks.drop("texts").groupBy("conv_id").applyInPandas(_merged(costs, edits.names[1:]), edits)
+    in_order = ["conv_id", "part", "block"]
+    narrow = blocks.drop("texts").repartition("conv_id").sortWithinPartitions(*in_order)
+    merged = narrow.mapInArrow(_merged(costs, to_arrow_schema(edits)), edits)
     union = merged.unionByName(blocks.select("conv_id", "part", "block", "texts"), allowMissingColumns=True)
-    ordered = union.repartition("conv_id").sortWithinPartitions("conv_id", "part", "block", F.col("letters").isNull())
+    ordered = union.repartition("conv_id").sortWithinPartitions(*in_order, F.col("letters").isNull())
     out = schema("gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string")
-    return ordered.mapInPandas(_stream(out.names), out)
+    return ordered.mapInArrow(_stream(to_arrow_schema(out)), out)
 
 
 def repair(conversations: DataFrame, costs: EditCosts = EditCosts()) -> DataFrame:

@@ -41,12 +41,12 @@ def cheapest(rows, costs):
     return best
 
 
-def blocks_of(rows, size, costs, layers):
+def blocks_of(rows, size, costs):
     pieces = [rows[i:i + size] for i in range(0, len(rows), size)]
-    return [(len(p), [tr.block_weights([(r[:1], g, c) for r, g, c in p], s, costs, layers) for s in range(tr.STATES)]) for p in pieces]
+    return [(len(p), [tr.block_weights([(r[:1], g, c) for r, g, c in p], s, costs) for s in range(tr.STATES)]) for p in pieces]
 
 
-@pytest.mark.parametrize("costs", [tr.EditCosts(), tr.EditCosts(insert=1), tr.EditCosts(rerole=3, delete=4, insert=3, truncated=1)])
+@pytest.mark.parametrize("costs", [tr.EditCosts(), tr.EditCosts(insert=1, inserts=6), tr.EditCosts(rerole=3, delete=4, insert=3, truncated=1, inserts=6)])
 def test_chain_matches_every_edit(costs):
     rng = random.Random(7)
     roles = ["user", "assistant", "system", "tool", " "]
@@ -54,8 +54,7 @@ def test_chain_matches_every_edit(costs):
         rows = [(rng.choice(roles), rng.random() < 0.2, rng.random() < 0.2) for _ in range(rng.randrange(0, 5))]
         want = cheapest(rows, costs)
         for size in (1, 2, 8):
-            layers = costs.layers(len(rows))
-            cost, parts = tr.chain(blocks_of(rows, size, costs, layers), costs, layers)
+            cost, parts = tr.chain(blocks_of(rows, size, costs), costs)
             assert (cost, "".join(a for _, a in parts)) == want[:2]
             got = ""
             for i, (state, letters) in enumerate(parts):
@@ -67,10 +66,9 @@ def test_chain_matches_every_edit(costs):
 def test_one_layer_of_inserts_is_enough():
     """Where an insert costs over two deletions, more layers change nothing."""
     rng = random.Random(3)
-    costs = tr.EditCosts()
     for _ in range(60):
         rows = [(rng.choice("uas"), rng.random() < 0.1, rng.random() < 0.2) for _ in range(rng.randrange(0, 14))]
-        results = [tr.chain(blocks_of(rows, 5, costs, layers), costs, layers) for layers in (0, 1, 4)]
+        results = [tr.chain(blocks_of(rows, 5, costs), costs) for costs in (tr.EditCosts(inserts=n) for n in (0, 1, 4))]
         audits = [(c, "".join(a for _, a in p)) for c, p in results]
         assert audits[0] == audits[1] == audits[2] and "I" not in audits[0][1]
 
@@ -96,7 +94,7 @@ def brute(conversations, costs=tr.EditCosts()):
         turns = [t for t, _, _ in after if t is not None]
         pairs = [a[1][:1] + b[1][:1] for a, b in zip(after, after[1:])]
         flat = [(r, f in ("blank", "duplicate"), f == "truncated") for (_, r, _), f in zip(after, faults)]
-        cost, parts = tr.chain([(1, b) for _, b in blocks_of(flat, 1, costs, 1)], costs, 1)
+        cost, parts = tr.chain([(1, b) for _, b in blocks_of(flat, 1, costs)], costs)
         if len(flat) <= 6:
             assert (cost, "".join(a for _, a in parts)) == cheapest(flat, costs)[:2]
         lines = []
