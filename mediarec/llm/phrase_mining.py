@@ -31,6 +31,7 @@ fails and doesn't round.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from mediarec.operators.staging import stage
 
-FLUSH = 2_000_000
+FLUSH = 500_000
 _SCORE = 1_000_000
 _BUCKETS = 64           # a language is cut down to its first rows per bucket before it is ranked as a whole
 _FIELDS = "lang string, phrase string, size int, known boolean, n bigint"
@@ -119,7 +120,7 @@ class _Run:
     """Words of one language as numbers, -1 between pieces."""
 
     def __init__(self):
-        self.ids, self.vocabulary, self.words = [], _Ids(), 0
+        self.ids, self.vocabulary, self.words = array("i"), _Ids(), 0
 
     def add(self, text: bytes) -> int:
         number, before = self.vocabulary.__getitem__, self.words
@@ -137,7 +138,7 @@ def _grams(lang: str, run: _Run, longest: int, old: Filter | None, new: Filter |
     A phrase is counted when its parts are in `new` and not all in `old`.
     Without `new` (in the sample) all are.
     """
-    ids = np.array(run.ids, np.int64)
+    ids = np.frombuffer(run.ids, np.int32).astype(np.int64)
     words = list(run.vocabulary)
     size = len(words)
     hashes = _word_hashes(lang, words)
