@@ -15,11 +15,12 @@ BROADCAST_KEYS = 500_000
 REWRITE_SHARE = 0.2
 
 
-def pair_counts(df: DataFrame) -> DataFrame:
-    """Rows per (user, item) as `n`; rows without a user or item id are left out."""
+def pair_counts(df: DataFrame, dates: bool = False) -> DataFrame:
+    """Rows per (user, item) as `n`, with `dates` also their first date as `first_ds`; rows without a user or item id are left out."""
+    first = [F.min("ds").alias("first_ds")] if dates else []
     return (
         df.where(F.col("id_no").isNotNull() & F.col("media_id").isNotNull())
-        .groupBy("id_no", "media_id").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("id_no", "media_id").agg(F.count(F.lit(1)).alias("n"), *first)
     )
 
 

@@ -12,41 +12,51 @@ from mediarec.operators.staging import stage
 from mediarec.schemas import require_columns
 
 
+def complete_items(inventory: DataFrame, modalities: Iterable[str]) -> DataFrame:
+    """`id` of the items with a file for every modality; `inventory` is (`id`, `modality`)."""
+    wanted = list(modalities)
+    flags = inventory.where(F.col("modality").isin(*wanted)).groupBy("id").agg(
+        *[F.max(F.col("modality") == m).alias(f"_{i}") for i, m in enumerate(wanted)])
+    for i in range(len(wanted)):
+        flags = flags.where(F.col(f"_{i}"))
+    return flags.select("id")
+
+
 def require_modalities(df: DataFrame, inventory: DataFrame, modalities: Iterable[str],
-                       col: str = "media_id") -> DataFrame:
-    """Rows whose item has a file for every modality.
+                       col: str = "media_id", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Rows whose item has a file for every modality; the catalogue and the log are filtered the same way.
 
-    `inventory` is (`id`, `modality`); the catalogue and the log are filtered
-    the same way.
+    Rows per item are counted first, so that the rows of a popular item are
+    spread over several tasks; `df` is read twice and should be a stored table.
     """
-    wanted = list(modalities)
-    complete = (
-        inventory.where(F.col("modality").isin(*wanted))
-        .groupBy("id").agg(*[F.max(F.col("modality") == m).alias(f"_{i}")
-                             for i, m in enumerate(wanted)])
-    )
-    for i in range(len(wanted)):
-        complete = complete.where(F.col(f"_{i}"))
-    return df.join(complete.select(F.col("id").alias(col)), col, "left_semi")
+    complete = complete_items(inventory, modalities).withColumnRenamed("id", col)
+    counted = stage(df.groupBy(col).agg(F.count(F.lit(1)).alias("_rows")).join(complete, col), "complete-items")
+    return hot_key_join(df, counted, col, "_rows", hot_rows).drop("_rows").select(*df.columns)
 
 
-def export_slices(df: DataFrame, meta: DataFrame | None = None,
-                  categories: Iterable[str] = CATEGORIES) -> DataFrame:
+def export_slices(df: DataFrame, meta: DataFrame | None = None, categories: Iterable[str] = CATEGORIES,
+                  category: str | None = None) -> DataFrame:
     """(`slice`, `media_id`, `id_no`, `score`): every ground-truth slice in one table.
 
     Slices are `<split>/total`, `/cold` and `/warm`; with `meta`, also
     `test/total_<category>`, `test/cold_<category>` and `test/warm_<category>`.
-    A row joins each slice it belongs to: two, or four for a categorised test row.
+    Where the rows have their category already, `category` names that column and
+    nothing is joined. A row joins each slice it belongs to: two, or four for a
+    categorised test row.
     """
     require_columns(df, "media_id", "id_no", "score", "split", "wc_split")
     kind = F.when(F.col("wc_split") == F.concat(F.lit("c_"), "split"), "cold").when(
         F.col("wc_split") == F.concat(F.lit("w_"), "split"), "warm")
     names = [F.concat("split", F.lit("/total")), F.concat("split", F.lit("/"), kind)]
-    if meta is not None:
+    label = None
+    if category is not None:
+        label = F.when(F.col(category).isin(*list(categories)), F.col(category))
+    elif meta is not None:
         labels = meta.where(F.col("channel_category").isin(*list(categories))).select(
             "media_id", F.col("channel_category").alias("_cat"))
-        df = df.join(labels, "media_id", "left")
-        tail = F.when(F.col("split") == "test", F.concat(F.lit("_"), "_cat"))
+        df, label = df.join(labels, "media_id", "left"), F.col("_cat")
+    if label is not None:
+        tail = F.when(F.col("split") == "test", F.concat(F.lit("_"), label))
         names += [F.concat(n, tail) for n in names]
     return df.select(
         F.explode(F.array_compact(F.array(*names))).alias("slice"), "media_id", "id_no", "score")

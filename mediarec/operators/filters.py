@@ -91,12 +91,12 @@ def keep_items(log: DataFrame, ids: DataFrame) -> DataFrame:
     return log.join(ids.select("media_id"), "media_id", "left_semi")
 
 
-def cleaned_pairs(log: DataFrame, meta: DataFrame, cfg: StaticConfig = StaticConfig()) -> DataFrame:
-    """Row counts per (user, item) of the cleaned log, catalogue items only.
+def cleaned_pairs(log: DataFrame, meta: DataFrame, cfg: StaticConfig = StaticConfig(), dates: bool = False) -> DataFrame:
+    """Row counts (with `dates`, also first dates) per (user, item) of the cleaned log, catalogue items only.
 
     The catalogue check runs on the counted pairs, never on the log rows.
     """
-    return keep_items(pair_counts(clean_log(log, cfg)), meta)
+    return keep_items(pair_counts(clean_log(log, cfg), dates), meta)
 
 
 def static_filter(log: DataFrame, meta: DataFrame, cfg: StaticConfig = StaticConfig()) -> DataFrame:

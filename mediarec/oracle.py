@@ -221,6 +221,23 @@ def oracle_sql() -> dict[str, str]:
     }
     complete = """media_id IN (SELECT id FROM inv WHERE modality = 'vision')
         AND media_id IN (SELECT id FROM inv WHERE modality = 'audio')"""
+    complete_log = {**{k: q for k, q in balanced.items() if k != "splitlog"}, "alllog": balanced["splitlog"],
+                    "splitlog": f"SELECT * FROM alllog WHERE {complete}"}
+    user_meta = f"""SELECT id_no, count(*) AS count, CAST(max(ds) AS VARCHAR) AS last_ds,
+            CAST(min(ds) AS VARCHAR) AS start_ds, {_r('avg(watch_time)', 'avg_watch_time')}, max(age) AS age,
+            max(gender) AS gender, date_diff('day', min(ds), max(ds)) AS "dateDiff" FROM {{}} GROUP BY 1"""
+    # What an ALS model must know, whatever its factors: who has one, from how many rows.
+    day = "SELECT id_no, media_id, ds, sum(score) AS score FROM splitlog WHERE split = 'train' GROUP BY 1, 2, 3"
+    tracks = """SELECT l_orderkey, l_linenumber <> 7 AS counted, 't' || l_partkey IN (SELECT 't' || substr(media_id, 2) FROM meta) AS listed
+        FROM lineitem"""
+    content = {
+        "v": VEC, "p": PLANTED,
+        "su": f"SELECT slice, id_no, {_id_vector('id_no', 0)} AS uv FROM (SELECT DISTINCT slice, id_no FROM slices)",
+        "si": "SELECT slice, media_id, cf AS iv FROM (SELECT DISTINCT slice, media_id FROM slices) LEFT JOIN p ON 'm' || id = media_id",
+        "pred": """SELECT slice, id_no, media_id, round(list_cosine_similarity(uv, iv), 12) AS rating
+            FROM su JOIN si USING (slice) WHERE iv IS NOT NULL""",
+        "gone": "SELECT slice, count(*) FILTER (iv IS NULL) AS items_missing FROM si GROUP BY 1",
+    }
     index = "SELECT {c} AS id, row_number() OVER (ORDER BY {c}) - 1 AS idx, n FROM (SELECT {c}, count(*) AS n FROM {t} GROUP BY 1)"
     steps = ["TRUE", "fraud_level = 0", "NOT live", "id_no IS NOT NULL AND id_no <> ''",
              "watch_time BETWEEN 30000 AND 7200000", f"{score} >= 0.3",
@@ -264,9 +281,7 @@ def oracle_sql() -> dict[str, str]:
         "view_counts_user": known + "SELECT id_no, count(*) AS count FROM known GROUP BY 1",
         "item_meta": _with("log", "meta", "clean") + f"""SELECT m.*, count, {_r('avg_watch_time')} FROM meta m JOIN
             (SELECT media_id, count(*) AS count, avg(watch_time) AS avg_watch_time FROM clean GROUP BY 1) USING (media_id)""",
-        "user_meta": known + f"""SELECT id_no, count(*) AS count, CAST(max(ds) AS VARCHAR) AS last_ds,
-            CAST(min(ds) AS VARCHAR) AS start_ds, {_r('avg(watch_time)', 'avg_watch_time')}, max(age) AS age,
-            max(gender) AS gender, date_diff('day', min(ds), max(ds)) AS "dateDiff" FROM known GROUP BY 1""",
+        "user_meta": known + user_meta.format("known"),
         "summary": known + """SELECT count(*) AS rows, count(DISTINCT media_id) AS items,
             count(DISTINCT id_no) AS users FROM known""",
         "category_summary": _with("meta") + "SELECT channel_category, count(*) AS count FROM meta GROUP BY 1",
@@ -288,6 +303,15 @@ def oracle_sql() -> dict[str, str]:
         "where_split_cold": SPLIT_LOG + f"SELECT {SPLIT_COLS} FROM splitlog WHERE wc_split = 'c_test'",
         "prepare_dataset": _with(*CLEAN, "inv", **balanced)
         + f'SELECT {SPLIT_COLS}, "itemCnt", "userCnt" FROM splitlog WHERE {complete}',
+        "core_log": _with(*CLEAN, **_rounds(5)) + f"SELECT {degree_cols} FROM k5",
+        "prepare_item_table": _with(*CLEAN, "inv", **balanced) + f"""SELECT media_id, "userCnt", channel_category, {_text('upload_ds')}, split, wc_split,
+            {complete} AS complete FROM (SELECT DISTINCT media_id, "userCnt", upload_ds, split, wc_split FROM splitlog) JOIN meta USING (media_id)""",
+        "prepare_item_meta": _with(*CLEAN, "inv", **balanced) + f"""SELECT m.*, count, {_r('avg_watch_time')} FROM meta m JOIN
+            (SELECT media_id, count(*) AS count, avg(watch_time) AS avg_watch_time FROM splitlog WHERE {complete} GROUP BY 1) USING (media_id)""",
+        "prepare_slices": _with(*CLEAN, "inv", **complete_log, **SLICES)
+        + f"SELECT slice, media_id, id_no, {_r('score')} FROM slices",
+        "prepare_manifest": _with(*CLEAN, "inv", **complete_log) + f"SELECT * FROM ({manifest})",
+        "prepare_user_meta": _with(*CLEAN, "inv", **balanced) + user_meta.format("splitlog"),
         "split_summary": _with(*CLEAN, **balanced) + """SELECT split, wc_split, count(*) AS rows,
             count(DISTINCT media_id) AS items, count(DISTINCT id_no) AS users FROM splitlog GROUP BY 1, 2""",
         "export_slices": _with(*CLEAN, **_day_split("known"), **SLICES)
@@ -365,6 +389,26 @@ def oracle_sql() -> dict[str, str]:
                                  **_metrics("slices", "pred", "slice")) + none_missing.format(_averaged("slice")),
         "evaluate_all_slices": _with(*CLEAN, **_day_split("known"), **SLICES, **slice_pred,
                                      **_metrics("slices", "pred", "slice")) + none_missing.format(_averaged("slice")),
+        "evaluate_content": _with(*CLEAN, **_day_split("known"), all_slices=SLICES["slices"],
+                                  slices="SELECT * FROM all_slices WHERE starts_with(slice, 'test/')", **content,
+                                  **_metrics("slices", "pred", "slice"))
+        + f"SELECT *, CAST(0 AS BIGINT) AS users_missing FROM ({_averaged('slice')}) JOIN gone USING (slice)",
+        "als_residual": _with(*CLEAN, **_day_split("known"), day=day) + """SELECT row_number() OVER (ORDER BY id_no) - 1 AS id,
+            count(*) AS n, TRUE AS solved FROM day GROUP BY id_no""",
+        "als_splits": SPLIT_LOG + """SELECT DISTINCT split, 'user' AS side, id_no AS id, CAST(128 AS BIGINT) AS n FROM splitlog
+            UNION ALL SELECT DISTINCT split, 'item', media_id, 128 FROM splitlog""",
+        "als_counts": _with("meta", tracks=tracks) + """SELECT count(*) AS read, CAST(0 AS BIGINT) AS no_user, count(*) FILTER (NOT listed) AS no_item,
+            count(*) FILTER (NOT counted) AS no_rating, count(*) FILTER (listed AND counted) AS used FROM tracks""",
+        "als_explicit_residual": _with("meta", tracks=tracks)
+        + "SELECT l_orderkey AS id, count(*) AS n, TRUE AS solved FROM tracks WHERE listed AND counted GROUP BY 1",
+        "als_saved": """SELECT DISTINCT 'user' AS side, o_custkey AS id, CAST(128 AS BIGINT) AS n, TRUE AS same FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+            UNION ALL SELECT 'item', row_number() OVER (ORDER BY CAST(l_partkey AS VARCHAR)) - 1, 128, TRUE FROM
+              (SELECT DISTINCT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
+        "factor_table": known + "SELECT DISTINCT media_id AS id, CAST(128 AS BIGINT) AS n FROM known",
+        "fit_fusion_ridge": "SELECT CAST(0 AS BIGINT) AS epoch, 0.0::DOUBLE AS train_loss, 0.0::DOUBLE AS valid_loss",
+        "score_fusion": feats + f"""SELECT item_id, CAST(dim - 1 AS BIGINT) AS dim, {_r('val', 'planted')}, TRUE AS recovered FROM
+            (SELECT id AS item_id, unnest(cf) AS val, generate_subscripts(cf, 1) AS dim FROM p)""",
+        "ablation_exact": "SELECT * FROM (VALUES ('v', FALSE), ('a', FALSE), ('t', FALSE), ('va', FALSE), ('vt', FALSE), ('at', FALSE), ('vat', TRUE)) x(modality, exact)",
         "source_log": log + f"SELECT {_log_cols(SHOWN_USER)} FROM log",
         "source_counts": """SELECT l_orderkey AS user_id, 't' || l_partkey AS track_id,
             CASE WHEN l_linenumber = 7 THEN -1 ELSE CAST(trunc(l_quantity) AS BIGINT) END AS count FROM lineitem""",

@@ -15,7 +15,7 @@ from mediarec.functions.vectors import concat_modalities, cosine, l2_normalize,
 from mediarec.operators import (
     degrees, exports, factorization, features, filters, fusion, indexing, metadata, ranking, retrieval, splitting)
 from mediarec.operators.staging import fresh_path, stage
-from mediarec.plans import factorize as factorize_plan, prepare as prepare_plan
+from mediarec.plans import evaluate as evaluate_plan, factorize as factorize_plan, prepare as prepare_plan
 from mediarec.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +24,7 @@ CORE = CoreConfig(min_per_user=9, min_per_item=7)
 SPLIT = SplitConfig(cap=200)
 STATIC = StaticConfig()
 MODALITIES = ["vision", "audio", "lyrics", "genres"]
-SMALL_ALS = {"rank": 16, "max_iter": 5, "blocks": 8}
+IMPLICIT, EXPLICIT = AlsConfig.implicit_feedback(), AlsConfig.explicit_feedback()
 
 _REGISTRY: dict[str, Query] = {}
 
@@ -260,11 +260,48 @@ def prepare_dataset(spark, sf):
     return _flat(p.log)
 
 
+def _prepared(spark, sf):
+    return prepare_plan.prepare(X.log(spark, sf), X.meta(spark, sf), CORE, SPLIT, STATIC, X.inventory(spark, sf))
+
+
+@_query
+def core_log(spark, sf):
+    """The static job's result: cleaned, catalogued, pruned log rows."""
+    return _flat(prepare_plan.core_log(X.log(spark, sf), X.meta(spark, sf), CORE, STATIC))
+
+
+@_query
+def prepare_item_table(spark, sf):
+    """Balanced items with count, category, first date, split and whether their files are complete."""
+    return _flat(_prepared(spark, sf).items)
+
+
+@_query
+def prepare_item_meta(spark, sf):
+    """The prepared catalogue with views and mean watch time."""
+    return _flat(_prepared(spark, sf).item_meta)
+
+
+@_query
+def prepare_slices(spark, sf):
+    return _flat(_prepared(spark, sf).slices)
+
+
+@_query
+def prepare_manifest(spark, sf):
+    return _prepared(spark, sf).manifest
+
+
+@_query
+def prepare_user_meta(spark, sf):
+    return _flat(_prepared(spark, sf).users)
+
+
 @_query
 def split_summary(spark, sf):
     """Rows, items and users of each split of the prepared data set."""
     rows, _ = prepare_plan.balanced_log(X.log(spark, sf), X.meta(spark, sf), CORE, SPLIT, STATIC)
-    return _flat(splitting.assign_splits(rows, SPLIT).groupBy("split", "wc_split").agg(
+    return _flat(rows.groupBy("split", "wc_split").agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct("media_id").alias("items"),
         F.countDistinct("id_no").alias("users")))
 
@@ -338,20 +375,77 @@ def index_interactions(spark, sf):
 
 @_query
 def als_implicit(spark, sf):
-    out = factorize_plan.factorize(_split(spark, sf), AlsConfig.implicit_feedback(**SMALL_ALS), "train")
+    out = factorize_plan.factorize(_split(spark, sf), IMPLICIT, "train")
     return _elements(out.users, "vec", "id")
 
 
+@_query
+def als_residual(spark, sf):
+    """Whether every user's factor solves its normal equations, to the precision of the stored factors."""
+    out = factorize_plan.factorize(_split(spark, sf), IMPLICIT, "train")
+    found = factorize_plan.user_residuals(out, IMPLICIT)
+    return _flat(found.select("id", "n", (F.col("residual") < 1e-3).alias("solved")))
+
+
+@_query
+def als_splits(spark, sf):
+    """One model per split: the items and users each has factors of."""
+    parts = []
+    for split, out in factorize_plan.factorize_splits(_split(spark, sf), IMPLICIT).items():
+        for side, table in (("user", out.users), ("item", out.items)):
+            parts.append(table.select(F.lit(split).alias("split"), F.lit(side).alias("side"), "id", F.size("vec").cast("long").alias("n")))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found
+
+
+def _track_counts(spark, sf):
+    """Counts as read from a file, some malformed, and a dictionary of the catalogue's tracks."""
+    index = indexing.build_index(X.meta(spark, sf).select(F.concat(F.lit("t"), F.substring("media_id", 2, 20)).alias("id")), "id")
+    return readers.read_counts(spark, _counts_file(spark, sf)), index
+
+
 @_query
 def als_explicit(spark, sf):
     index = indexing.build_index(X.counts(spark, sf), "track_id")
-    model = factorize_plan.factorize_counts(X.counts(spark, sf), index, AlsConfig.explicit_feedback(**SMALL_ALS))
+    model, _, _ = factorize_plan.factorize_counts(X.counts(spark, sf), index, EXPLICIT)
     return _elements(model.userFactors, "features", "id")
 
 
+@_query
+def als_counts(spark, sf):
+    """What became of the rows of a counts file on the way to the explicit model."""
+    _, _, seen = factorize_plan.factorize_counts(*_track_counts(spark, sf), EXPLICIT)
+    return spark.createDataFrame([seen])
+
+
+@_query
+def als_explicit_residual(spark, sf):
+    counts, index = _track_counts(spark, sf)
+    model, ratings, _ = factorize_plan.factorize_counts(counts, index, EXPLICIT)
+    found = factorization.normal_residual(model, ratings, EXPLICIT, "user", "user_id", "track_id", "count")
+    return _flat(found.select("id", "n", (F.col("residual") < 1e-3).alias("solved")))
+
+
+@_query
+def als_saved(spark, sf):
+    """A model written and loaded: sizes, and whether factors are the same, of every user and item."""
+    index = indexing.build_index(X.counts(spark, sf), "track_id")
+    model, _, _ = factorize_plan.factorize_counts(X.counts(spark, sf), index, EXPLICIT)
+    path = fresh_path(spark, "als-model")
+    sinks.save_als(model, path)
+    back = sinks.load_als(path)
+    parts = []
+    for side, ours, theirs in (("user", model.userFactors, back.userFactors), ("item", model.itemFactors, back.itemFactors)):
+        both = ours.join(theirs.select("id", F.col("features").alias("again")), "id", "full")
+        parts.append(both.select(F.lit(side).alias("side"), "id", F.size("features").cast("long").alias("n"), (F.col("features") == F.col("again")).alias("same")))
+    return _flat(parts[0].unionByName(parts[1]))
+
+
 @_query
 def factor_table(spark, sf):
-    out = factorize_plan.factorize(_known(spark, sf), AlsConfig.implicit_feedback(**SMALL_ALS))
+    out = factorize_plan.factorize(_known(spark, sf), IMPLICIT)
     return out.items.select("id", F.size("vec").cast("long").alias("n"))
 
 
@@ -548,7 +642,25 @@ def fit_fusion_mlp(spark, sf):
 def score_fusion(spark, sf):
     rows, train, valid = _train_valid(spark, sf)
     model = fusion.fit_fusion(train, valid, FusionConfig(modality="vat", solver="ridge"))
-    return _elements(fusion.score_fusion(rows, model), "vec", "item_id")
+    both = fusion.score_fusion(rows, model).join(rows.select("item_id", "cf"), "item_id")
+    found = both.select("item_id", F.posexplode(F.arrays_zip("vec", "cf")).alias("dim", "pair"))
+    return _flat(found.select("item_id", "dim", F.col("pair.cf").alias("planted"), (F.abs(F.col("pair.vec") - F.col("pair.cf")) < 1e-4).alias("recovered")))
+
+
+@_query
+def evaluate_content(spark, sf):
+    """End to end: assemble content, fit the map on train and valid items, score all items, rank and measure the test slices."""
+    def item(col):
+        return F.concat(F.lit("m"), col)
+
+    slices, users, _ = _slices(spark, sf)
+    feats = X.features(spark, sf).withColumn("item_id", item("item_id"))
+    factors = X.planted_factors(spark, sf).withColumn("id", item("id"))
+    ids = {s: slices.where(F.col("slice") == f"{s}/total").select(F.col("media_id").alias("id")) for s in ("train", "valid")}
+    cfg = FusionConfig(modality="vat", solver="ridge")
+    model, _ = evaluate_plan.train_fusion(feats, factors, ids["train"], ids["valid"], cfg)
+    rows, _ = features.assemble_modalities(feats, factors, None, MODALITIES[:3])
+    return _flat(evaluate_plan.evaluate(slices, users, rows, model))
 
 
 @_query
@@ -557,6 +669,14 @@ def ablation(spark, sf):
     return _flat(fusion.ablation(train, valid, FusionConfig(solver="ridge")))
 
 
+@_query
+def ablation_exact(spark, sf):
+    """Which modality subsets hold all that the planted map reads."""
+    _, train, valid = _train_valid(spark, sf)
+    found = fusion.ablation(train, valid, FusionConfig(solver="ridge"))
+    return found.select("modality", ((F.col("train_loss") < 1e-6) & (F.col("valid_loss") < 1e-6)).alias("exact"))
+
+
 @_query
 def ablation_mlp(spark, sf):
     _, train, valid = _train_valid(spark, sf)

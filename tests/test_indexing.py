@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from frames import rows
 from pyspark.sql import functions as F
@@ -79,13 +80,37 @@ def test_explicit_counts(spark):
     counts = spark.createDataFrame([(u, f"t{i}", 1 + (u * i) % 5) for u in range(12) for i in range(9)],
                                    "user_id long, track_id string, count long")
     index = spark.createDataFrame([(f"t{i}", i) for i in range(7)], "id string, idx int")
-    model = factorize_counts(counts, index, AlsConfig.explicit_feedback(rank=4, max_iter=8, blocks=2))
+    more = counts.unionByName(spark.createDataFrame([(None, "t1", 2), (3, "t2", None), (None, None, None)], counts.schema))
+    cfg = AlsConfig.explicit_feedback(rank=4, max_iter=8, blocks=2)
+    model, ratings, seen = factorize_counts(more, index, cfg)
+    assert seen.asDict() == {"read": 111, "no_user": 2, "no_item": 25, "no_rating": 2, "used": 84} and ratings.count() == 84
+    exact = factorization.normal_residual(model, ratings, cfg, "user", "user_id", "track_id", "count").collect()
+    assert len(exact) == 12 and all(r["n"] == 7 and r["residual"] < 1e-5 for r in exact)
     assert model.itemFactors.count() == 7 and model.rank == 4
     pred = model.transform(indexing.encode_ids(counts, index, "track_id", "inner"))
     err = pred.agg(F.avg(F.abs(F.col("prediction") - F.col("count")))).first()[0]
     assert err < 0.3
 
 
+def test_residual_by_hand(log):
+    """Against the normal equations written out with dense matrices, for the side that is exact and the one that isn't."""
+    cfg = AlsConfig.implicit_feedback(rank=5, max_iter=2, blocks=2)
+    out = factorize(log, cfg)
+    ratings = [(r.userId, r.mediaId, r.score) for r in out.ratings.collect()]
+    for side, own, far, at in (("user", out.model.userFactors, out.model.itemFactors, 0), ("item", out.model.itemFactors, out.model.userFactors, 1)):
+        x, y = ({r["id"]: np.array(r["features"]) for r in t.collect()} for t in (own, far))
+        gram = sum(np.outer(v, v) for v in y.values())
+        got = {r["id"]: r for r in factorization.normal_residual(out.model, out.ratings, cfg, side).collect()}
+        assert got.keys() == x.keys()
+        for i, v in x.items():
+            mine = [(r[1 - at], np.float32(r[2])) for r in ratings if r[at] == i]
+            a = gram + sum(abs(s) * np.outer(y[j], y[j]) for j, s in mine) + cfg.reg * sum(s > 0 for _, s in mine) * np.eye(5)
+            b = sum((1 + abs(s)) * y[j] for j, s in mine if s > 0)
+            assert got[i]["n"] == len(mine)
+            assert got[i]["residual"] == pytest.approx(np.linalg.norm(a @ v - b) / np.linalg.norm(b), rel=1e-4, abs=1e-7)
+            assert side == "item" or got[i]["residual"] < 1e-4
+
+
 def test_published_settings():
     a, b = AlsConfig.implicit_feedback(), AlsConfig.explicit_feedback()
     assert (a.rank, a.max_iter, a.reg, a.blocks, a.implicit) == (128, 15, 0.1, 128, True)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediarec.operators import exports, filters, splitting
+from mediarec.plans import prepare
 
 CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -68,3 +69,22 @@ def test_split_join_is_salted(log, small_limits):
     out = splitting.assign_splits(log.drop("split", "wc_split"), hot_rows=4000)
     assert out.count() == log.count()
     assert biggest_share(out) < 0.25
+
+
+def test_modality_check_of_a_log_is_salted(spark, log, small_limits):
+    files = items(spark).select(F.col("media_id").alias("id"), F.lit("audio").alias("modality"))
+    out = exports.require_modalities(log, files.where("id <> 'm7'"), ["audio"], hot_rows=4000)
+    assert out.columns == log.columns and out.count() == log.where("media_id <> 'm7'").count()
+    assert biggest_share(out) < 0.25
+
+
+def test_the_wide_join_of_the_data_stage_is_salted(spark, log, small_limits):
+    """Rows meet the item table once; splits, categories and files ride on it."""
+    raw = log.drop("split", "wc_split", "score").withColumns({
+        "id_country": F.lit("0"), "age": F.lit(1), "gender": F.lit("x"), "fraud_level": F.lit(0), "live": F.lit(False),
+        "watch_time": F.lit(60_000).cast("long"), "duration": F.lit(100_000).cast("long")})
+    users = raw.groupBy("id_no").agg(F.count(F.lit(1)).alias("itemCnt"))
+    table = raw.groupBy("media_id").agg(F.count(F.lit(1)).alias("userCnt")).withColumn("split", F.lit("test"))
+    out = prepare.item_log(raw, users, table, hot_rows=4000)
+    assert out.count() == raw.count() and "split" in out.columns
+    assert biggest_share(out) < 0.25
