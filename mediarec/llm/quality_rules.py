@@ -5,17 +5,23 @@ source) group go into a quantile sketch with a bounded relative error: values
 fall into buckets that grow by a fixed ratio, so a sketch is a table of bucket
 counts and two sketches merge by adding counts. That makes it deterministic,
 pre-aggregated by each map task (a hot source costs a few hundred rows per
-task) and mergeable into coarser sketches: a group of fewer than `min_group`
-texts takes the bounds of its language, a small language those of all texts.
+task) and mergeable into coarser sketches. A group's sketch is merged with its
+language's, scaled down to the weight of `prior` texts, and that one with the
+sketch of all texts likewise: a large group speaks for itself, a small one leans
+on its language as far as it is small.
 
 A bound is a far-out fence: upper quartile plus `reach` times the spread
-between the quartiles, and the same downwards; the spread is never taken as
-less than the measure's own smallest step, so that a constant measure does not
-turn every other value into an outlier.
+between the quartiles, and the same downwards. Where most texts of a group have
+the same value, as shares often are zero, the spread is the size of the
+smallest event in a median text of the group: one symbol among its characters,
+one duplicate line among its lines, one repeated window of three words (six
+words) among its words. So sources of long texts get narrower bounds than
+sources of short ones, and no bound is a constant.
 
 Defined results: a null or blank text has no words and fails the base rules;
-null language and null source are groups of their own; an empty table gives an
-empty result; other columns are left alone.
+null language and null source are groups of their own; a text of more than
+2^24 words stops the job with an error (positions have 24 bits); an empty table
+gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -27,19 +33,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mediarec.llm.common import HAS_WORD, computed_once, fresh, text_of, words
 from mediarec.operators.staging import stage
 
+POSITIONS = 1 << 24     # words of a text; a window's position takes the low bits of a long
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
 class RulesConfig:
-    """`least` is the smallest spread of each measure; `lower` lists measures bounded from below too."""
+    """`steps` names each measure's smallest event and what it is a share of; `lower` lists measures bounded from below too."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
     accuracy: float = 0.01          # relative error of a quantile
     reach: float = 5.0
-    min_group: int = 200
-    least: tuple = (("word_length", 0.25), ("symbols", 0.01), ("dup_lines", 0.1), ("repeats", 0.1))
+    prior: int = 200                # texts of weight that a group's language has in its sketch
+    steps: tuple = (("word_length", 1, "words"), ("symbols", 1, "chars"), ("dup_lines", 1, "lines"), ("repeats", 6, "words"))
     lower: tuple = ("word_length",)
 
 
@@ -58,11 +65,11 @@ def with_counts(docs: DataFrame, text: str = "text", out: str = "counts") -> Dat
     texts cost no more than others. Every array that a lambda looks into is a
     column of its own, else it would be evaluated again for each element.
 
-    Documents of more than 2**24 words would need more position bits; their
-    word array alone is near the largest row Spark can hold.
+    Positions have 24 bits: a text of more words stops the job, it is never
+    miscounted.
     """
     w, h, p, n, k = fresh(docs, *[f"{out}_{x}" for x in ("words", "windows", "packed", "lines", "likely")])
-    low = 1 << 24
+    low = POSITIONS
     high = F.lit(-low)
 
     def place(x: Column) -> Column:
@@ -71,7 +78,8 @@ def with_counts(docs: DataFrame, text: str = "text", out: str = "counts") -> Dat
     lines = F.filter(F.split(text_of(text), "\n", -1), lambda x: x.rlike(HAS_WORD))
     windows = F.transform(F.slice(w, F.lit(3), F.greatest(F.size(w) - 2, F.lit(0))),
                           lambda x, i: F.xxhash64(F.get(F.col(w), i), F.get(F.col(w), i + 1), x))
-    packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(high).bitwiseOR(i.cast("long"))))
+    counted = F.when(F.size(w) > POSITIONS, F.raise_error(F.lit(f"a text has more than {POSITIONS} words"))).otherwise(F.col(h))
+    packed = F.sort_array(F.transform(counted, lambda x, i: x.bitwiseAND(high).bitwiseOR(i.cast("long"))))
     likely = _beside(F.col(p), lambda x: x.bitwiseAND(high))
     start = F.sort_array(F.transform(_beside(F.col(k), lambda x: F.get(F.col(h), place(x))), place))
     spaced = (docs.withColumn(w, words(text_of(text))).withColumn(n, lines)
@@ -102,6 +110,11 @@ def measures(counts: Column) -> dict[str, Column]:
             "dup_lines": share("n_dup_lines", "n_lines"), "repeats": share("n_repeat_words", "n_words")}
 
 
+def sizes(counts: Column) -> dict[str, Column]:
+    """What the measures are shares of."""
+    return {"words": counts["n_words"], "chars": counts["word_chars"], "lines": counts["n_lines"]}
+
+
 def sketch(frame: DataFrame, keys: list[str], values: dict[str, Column], accuracy: float) -> DataFrame:
     """Quantile sketches: rows (keys, measure, bucket, n). Bucket null holds the zeros."""
     ratio = (1 + accuracy) / (1 - accuracy)
@@ -117,55 +130,74 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketches: DataFrame, keys: list[str], config: RulesConfig) -> DataFrame:
-    """One row per group: `total` and, for each measure, `low_<m>` and `high_<m>`.
+def shrunk(own: DataFrame, wide: DataFrame, keys: list[str], wide_keys: list[str], prior: float) -> DataFrame:
+    """Sketches of `own` groups, each with the sketch of the wider group it lies in added at the weight of `prior` texts.
+
+    Rows are (keys, measure, bucket, n), n a weight. The join meets sketches, a
+    few thousand rows a group, not texts.
+    """
+    total = wide.groupBy(*wide_keys, "measure").agg(F.sum("n").alias("total"))
+    renamed = {k: f"w_{k}" for k in [*wide_keys, "measure"]}
+
+    def same(left: list[str]) -> Column:
+        out = F.col("measure").eqNullSafe(F.col("w_measure"))
+        for k in left:
+            out &= F.col(k).eqNullSafe(F.col(f"w_{k}"))
+        return out
+
+    share = wide.join(total.withColumnsRenamed(renamed), same(wide_keys)).select(
+        *[F.col(k).alias(f"w_{k}") for k in wide_keys], F.col("measure").alias("w_measure"), "bucket", (F.lit(prior) * F.col("n") / F.col("total")).alias("n"))
+    groups = own.select(*keys, "measure").distinct()
+    lent = groups.join(share, same(wide_keys)).select(*keys, "measure", "bucket", "n")
+    return merge(own.withColumn("n", F.col("n").cast("double")).unionByName(lent), keys)
+
+
+def quantiles(sketches: DataFrame, keys: list[str], accuracy: float, at: dict[str, float]) -> DataFrame:
+    """(keys, measure, and a column per entry of `at`): the value up to which that share of the weight lies.
 
     A group's sketch has at most a few thousand buckets, so it fits an array.
     """
-    ratio = (1 + config.accuracy) / (1 - config.accuracy)
-    # One array per group and measure: (bucket, n) in order, zeros first.
+    ratio = (1 + accuracy) / (1 - accuracy)
+    # One array per group and measure: (bucket, weight) in order, zeros first.
     per = sketches.groupBy(*keys, "measure").agg(
         F.sum("n").alias("total"),
-        F.sort_array(F.collect_list(F.struct(F.coalesce("bucket", F.lit(-2**31)).alias("b"), F.col("n").alias("n")))).alias("rows"))
+        F.sort_array(F.collect_list(F.struct(F.coalesce("bucket", F.lit(-2**31)).alias("b"), F.col("n").cast("double").alias("n")))).alias("rows"))
 
     def quantile(q: float) -> Column:
-        rank = F.floor(F.lit(q) * (F.col("total") - 1))
-        found = F.aggregate("rows", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("b")),
+        rank = F.lit(q) * F.col("total") - F.lit(1e-6)
+        found = F.aggregate("rows", F.struct(F.lit(0.0).alias("seen"), F.lit(None).cast("int").alias("b")),
                             lambda s, r: F.struct((s["seen"] + r["n"]).alias("seen"),
-                                                  F.coalesce(s["b"], F.when(s["seen"] + r["n"] > rank, r["b"])).alias("b")))["b"]
+                                                  F.coalesce(s["b"], F.when(s["seen"] + r["n"] >= rank, r["b"])).alias("b")))["b"]
         return F.when(found == -2**31, F.lit(0.0)).otherwise(2 * F.pow(F.lit(ratio), found) / (ratio + 1))
 
-    least = F.create_map(*[x for m, v in config.least for x in (F.lit(m), F.lit(float(v)))])
-    q = per.select(*keys, "measure", "total", quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
-    spread = F.lit(config.reach) * F.greatest(F.col("q3") - F.col("q1"), least[F.col("measure")])
-    bounds = q.select(*keys, "measure", "total", (F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"))
-    names = [m for m, _ in config.least]
-    picks = [F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}") for m in names for side in ("low", "high")]
-    return bounds.groupBy(*keys).agg(F.max("total").alias("total"), *picks)
+    return per.select(*keys, "measure", *[quantile(q).alias(name) for name, q in at.items()])
+
+
+def fences(sketches: DataFrame, keys: list[str], config: RulesConfig) -> DataFrame:
+    """One row per group with `low_<m>` and `high_<m>` of each measure."""
+    q = quantiles(sketches, keys, config.accuracy, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+
+    def of(measure: str, column: str) -> Column:
+        return F.max(F.when(F.col("measure") == measure, F.col(column)))
+
+    bounds = []
+    for m, event, size in config.steps:
+        spread = config.reach * F.greatest(of(m, "q3") - of(m, "q1"), F.lit(float(event)) / of(size, "q2"))
+        bounds += [(of(m, "q1") - spread).alias(f"low_{m}"), (of(m, "q3") + spread).alias(f"high_{m}")]
+    return q.groupBy(*keys).agg(*bounds)
 
 
 def learn(counted: DataFrame, config: RulesConfig = RulesConfig(), counts: str = "counts",
           lang: str = "lang", source: str = "source") -> DataFrame:
-    """Bounds for every (lang, source) that occurs: its own, its language's, or those of all texts.
+    """Bounds for every (lang, source) that occurs, from its own texts, its language's and all.
 
     Texts that fail the base rules are not learned from.
     """
-    c = F.col(counts)
+    c, keys = F.col(counts), ["k_lang", "k_source"]
     good = counted.where(~base_failed(c, config)).select(F.col(lang).alias("k_lang"), F.col(source).alias("k_source"), c.alias("c"))
-    fine = stage(sketch(good, ["k_lang", "k_source"], measures(F.col("c")), config.accuracy), "quality-sketches")
-    bounds = [f"{side}_{m}" for m, _ in config.least for side in ("low", "high")]
-    own = fences(fine, ["k_lang", "k_source"], config)
-    by_lang = fences(merge(fine, ["k_lang"]), ["k_lang"], config)
-    overall = fences(merge(fine, []), [], config)
-    return stage(
-        own.alias("o")
-        # One row per language, one row in all: both bounded by the sketch keys they merge.
-        .join(by_lang.alias("l"), F.col("o.k_lang").eqNullSafe(F.col("l.k_lang")), "left")
-        .join(F.broadcast(overall.alias("a")), F.lit(True), "left")
-        .select("o.k_lang", "o.k_source", *[
-            F.when(F.col("o.total") >= config.min_group, F.col(f"o.{b}"))
-            .when(F.col("l.total") >= config.min_group, F.col(f"l.{b}")).otherwise(F.col(f"a.{b}")).alias(b) for b in bounds]),
-        "quality-bounds")
+    fine = stage(sketch(good, keys, measures(F.col("c")) | sizes(F.col("c")), config.accuracy), "quality-sketches")
+    by_lang = shrunk(merge(fine, ["k_lang"]), merge(fine, []), ["k_lang"], [], config.prior)
+    return stage(fences(shrunk(fine, by_lang, keys, ["k_lang"], config.prior), keys, config), "quality-bounds")
 
 
 def verdict(counted: DataFrame, bounds: DataFrame, out: str, config: RulesConfig = RulesConfig(),
@@ -179,6 +211,8 @@ def verdict(counted: DataFrame, bounds: DataFrame, out: str, config: RulesConfig
     b = bounds.withColumnsRenamed(renamed)
     inside = F.lit(True)
     for name, value in measures(F.col(counts)).items():
+        if f"high_{name}" not in renamed:
+            continue
         inside &= F.coalesce(value <= F.col(renamed[f"high_{name}"]), F.lit(True))
         if name in config.lower:
             inside &= F.coalesce(value >= F.col(renamed[f"low_{name}"]), F.lit(True))
