@@ -117,30 +117,34 @@ class _Ids(dict):
 
 
 class _Run:
-    """Words of one language as numbers, -1 between pieces."""
+    """Words of one language as numbers from 2, 1 between pieces and 0 for nothing."""
 
     def __init__(self):
-        self.ids, self.vocabulary, self.words = array("i"), _Ids(), 0
+        self.ids, self.vocabulary = array("i"), _Ids({b"": 0, b"\n": 1})
 
     def add(self, text: bytes) -> int:
-        number, before = self.vocabulary.__getitem__, self.words
-        for piece in text.translate(_TABLE).split(b"\n"):
-            if words := piece.split():  # only spaces are left
-                self.words += len(words)
-                self.ids.extend(map(number, words))
-                self.ids.append(-1)
-        return self.words - before
+        before = len(self.ids)
+        parts = text.translate(_TABLE).replace(b"\n", b" \n ").split(b" ")
+        self.ids.extend(map(self.vocabulary.__getitem__, parts))
+        self.ids.append(1)
+        return len(self.ids) - before
 
+    def words(self) -> tuple[list[bytes], np.ndarray]:
+        """The distinct words, and the numbers of all words into them, -1 between pieces."""
+        ids = np.frombuffer(self.ids, np.int32).astype(np.int64)
+        ids = ids[ids > 0] - 2
+        return list(self.vocabulary)[2:], ids
 
-def _grams(lang: str, run: _Run, longest: int, old: Filter | None, new: Filter | None) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+
+def _grams(lang: str, words: list[bytes], ids: np.ndarray, longest: int, old: Filter | None, new: Filter | None) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
     """(word numbers of each distinct phrase, its length, known, occurrences) that this pass counts.
 
     A phrase is counted when its parts are in `new` and not all in `old`.
     Without `new` (in the sample) all are.
     """
-    ids = np.frombuffer(run.ids, np.int32).astype(np.int64)
-    words = list(run.vocabulary)
     size = len(words)
+    if not size:
+        return
     hashes = _word_hashes(lang, words)
     everywhere = np.ones(size, bool)
     in_new = new.has(hashes) if new else everywhere
@@ -181,9 +185,10 @@ def _grams(lang: str, run: _Run, longest: int, old: Filter | None, new: Filter |
 def _flushed(runs: dict[str, _Run], longest: int, old: Filter | None, new: Filter | None) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in _FIELDS.split(", ")]
     for lang, run in runs.items():
-        words = pa.array(list(run.vocabulary), pa.binary()).cast(pa.string())
-        for key, length, known, n in _grams(lang, run, longest, old, new):
-            phrase = pc.binary_join_element_wise(*[words.take(pa.array(key[:, i])) for i in range(length)], " ") if length > 1 else words.take(pa.array(key[:, 0]))
+        words, ids = run.words()
+        written = pa.array(words, pa.binary()).cast(pa.string())
+        for key, length, known, n in _grams(lang, words, ids, longest, old, new):
+            phrase = pc.binary_join_element_wise(*[written.take(pa.array(key[:, i])) for i in range(length)], " ") if length > 1 else written.take(pa.array(key[:, 0]))
             for lo in range(0, len(n), 100_000):
                 part = phrase.slice(lo, 100_000)
                 yield pa.RecordBatch.from_arrays([
@@ -191,7 +196,7 @@ def _flushed(runs: dict[str, _Run], longest: int, old: Filter | None, new: Filte
                     pa.array(known[lo:lo + 100_000]), pa.array(n[lo:lo + 100_000].astype(np.int64))], names=names)
         if old is None:  # all words of the language, as the phrase of none
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([0], pa.int32()), pa.array([True]),
-                                              pa.array([run.words], pa.int64())], names=names)
+                                              pa.array([int((ids >= 0).sum())], pa.int64())], names=names)
 
 
 def _counting(longest: int, old, new, flush: int):
@@ -212,8 +217,8 @@ def _counting(longest: int, old, new, flush: int):
 def _counted(docs: DataFrame, longest: int, least: int, old, new, flush: int) -> DataFrame:
     """Phrases this pass counts that occur `least` times, and the words of each language; staged."""
     partial = docs.mapInArrow(_counting(longest, old, new, flush), _FIELDS)
-    # `known` follows from the phrase: it is the same in all tasks.
-    return stage(partial.groupBy("lang", "phrase", "size", "known").agg(F.sum("n").alias("n"))
+    # Tasks have summed up their runs, so sums wait for the shuffle. `known` follows from the phrase: it is the same in all tasks.
+    return stage(partial.repartition("lang", "phrase").groupBy("lang", "phrase", "size", "known").agg(F.sum("n").alias("n"))
                  .where((F.col("n") >= least) | (F.col("size") == 0)), "phrases")
 
 
