@@ -2,12 +2,17 @@
 
 Every line with at least `min_tokens` words is parsed at fixed depth: words
 holding a digit become a wildcard; the token count and the first `depth` tokens
-choose a leaf. Inside a leaf a line is compared by position: its tokens are cut
-into at most `parts` consecutive parts (single tokens in lines up to that
-length), and the part hash met most often at a position is the leaf template's
-constant there. A line that has the template's constant in at least `similar`
-of the positions belongs to the template, its other positions being variable
-fields; a line that doesn't is a template of its own (it recurs only unchanged).
+choose a leaf. A leaf holds any number of templates. Inside it lines are
+compared by the tokens after the leading ones, cut into at most `parts`
+consecutive parts (single tokens in lines up to that length): two lines are alike if they
+agree in at least `similar` of the parts. Where at most d parts may differ, the
+parts are dealt into d + 1 sections, and lines that are alike agree in a whole
+section. So lines meet in the buckets of their sections only; the part met most
+often at a position is the bucket's template there, the lines alike to it are its
+members, and a line of several templates goes with the one that most texts
+have. Positions in which members differ are the template's variable fields. A line
+without such a template is one of its own and recurs only unchanged; lines with
+too few tokens for a part to differ always are.
 
 A template recurs if it occurs in `min_docs` different texts, or in
 `passage_docs` if it is at least `passage_tokens` long. Copies of a whole text
@@ -16,7 +21,8 @@ template stays in the first text that has it (smallest id) and is dropped from
 all others.
 
 Only hashes move between tasks; a line found in a third of all texts is counted
-by the map tasks first. Texts are shuffled once, with the hashes to drop.
+by the map tasks first, and a template with very many variants is joined with
+them by parts. Texts are shuffled once, with the hashes to drop.
 
 Defined results: null text stays null and blank lines stay as they are; a null
 id counts as the largest; rows that repeat an id share its decisions; a text
@@ -31,6 +37,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mediarec.llm.common import fresh
+from mediarec.operators.skew import HOT_ROWS, hot_key_join
 from mediarec.operators.staging import stage
 
 # A word with a digit in it, without backtracking.
@@ -77,10 +84,12 @@ def line_id(line: Column) -> Column:
 
 
 def _parts(tokens: Column, n: Column, config: TemplateConfig) -> Column:
-    """Hashes of at most `parts` consecutive pieces of the token array."""
-    k = F.least(n, F.lit(config.parts))
-    return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.hash(
-        F.slice(tokens, F.floor(i * n / k).cast("int") + 1, (F.floor((i + 1) * n / k) - F.floor(i * n / k)).cast("int"))))
+    """Hashes of at most `parts` consecutive pieces of the tokens after the leading ones; empty if there are none."""
+    m = F.greatest(n - config.depth, F.lit(0))
+    k = F.least(m, F.lit(config.parts))
+    return F.when(k > 0, F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.hash(F.slice(
+        tokens, F.floor(i * m / k).cast("int") + 1 + config.depth, (F.floor((i + 1) * m / k) - F.floor(i * m / k)).cast("int"))))).otherwise(
+            F.array().cast("array<int>"))
 
 
 def parsed(docs: DataFrame, config: TemplateConfig = TemplateConfig()) -> DataFrame:
@@ -97,35 +106,62 @@ def parsed(docs: DataFrame, config: TemplateConfig = TemplateConfig()) -> DataFr
                         _parts(F.col("tokens"), F.col("n"), config).alias("parts"))
 
 
-def recurring(lines: DataFrame, config: TemplateConfig = TemplateConfig()) -> DataFrame:
+def _may_differ(config: TemplateConfig) -> Column:
+    """Parts in which a line may differ from its template."""
+    k = F.size("parts")
+    return (k - F.ceil(F.lit(config.similar) * k - F.lit(1e-9))).cast("int")
+
+
+def _sections(config: TemplateConfig) -> Column:
+    """Hashes of the line's leaf and the parts of each section, one section more than parts may differ."""
+    k, s = F.size("parts"), F.col("sections")
+    return F.transform(F.sequence(F.lit(0), s - 1), lambda g: F.xxhash64("leaf", g, F.slice(
+        "parts", F.floor(g * k / s).cast("int") + 1, (F.floor((g + 1) * k / s) - F.floor(g * k / s)).cast("int"))))
+
+
+def templates(lines: DataFrame, variants: DataFrame, config: TemplateConfig, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(line, template): the template of every distinct line that has one with two variants or more; staged."""
+    # A leaf with one variant, or lines in which no part may differ, have nothing to generalise.
+    open_ = lines.where(_may_differ(config) > 0).select("leaf", "line", "parts")
+    mixed = variants.groupBy("leaf").agg(F.count(F.lit(1)).alias("v")).where(F.col("v") > 1).select("leaf")
+    shapes = (open_.groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("parts").alias("parts"))
+              .join(mixed, "leaf", "left_semi").join(variants.select("line", "texts"), "line"))
+    placed = stage(shapes.withColumn("sections", _may_differ(config) + 1).select(
+        "line", "leaf", "parts", "texts", F.explode(_sections(config)).alias("bucket")), "line-sections")
+    crowded = stage(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1), "line-buckets")
+    met = stage(hot_key_join(placed, crowded, "bucket", "rows", hot_rows).drop("rows"), "line-candidates")
+    constants = (met.select("bucket", "texts", F.posexplode("parts").alias("at", "part"))
+                 .groupBy("bucket", "at", "part").agg(F.sum("texts").alias("weight"))
+                 .groupBy("bucket", "at").agg(F.max(F.struct("weight", "part")).alias("top"))
+                 # At most `parts` rows per bucket.
+                 .groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("at", F.col("top.part").alias("part")))).alias("at_part")))
+    shape = stage(constants.select("bucket", F.transform("at_part", lambda t: t["part"]).alias("shape")).join(crowded, "bucket"), "line-shapes")
+    same = F.aggregate(F.zip_with("parts", "shape", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
+    member = stage(hot_key_join(met, shape, "bucket", "rows", hot_rows).where(F.size("parts") - same <= _may_differ(config)).select(
+        "line", "texts", "shape", F.xxhash64("leaf", "shape").alias("template")).distinct(), "line-members")
+    weight = member.groupBy("template").agg(F.sum("texts").alias("weight"), F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
+    best = hot_key_join(member, stage(weight, "line-weights"), "template", "rows", hot_rows).groupBy("line").agg(
+        F.max(F.struct("weight", "shape", "template")).alias("best"))
+    return stage(best.select("line", F.col("best.template").alias("template")), "line-templates")
+
+
+def recurring(lines: DataFrame, config: TemplateConfig = TemplateConfig(), hot_rows: int = HOT_ROWS) -> DataFrame:
     """(line, doc, body): each masked line of a recurring template, with the first text that has the template.
 
-    A text with several variants of a template counts once for each of them.
+    A text counts once for a template, however many variants of it it has.
     """
     texts = lines.groupBy("line", "body").agg(F.min("doc").alias("doc"), F.first("leaf").alias("leaf"), F.first("n").alias("n"))
     variants = stage(texts.groupBy("line").agg(
         F.count(F.lit(1)).alias("texts"), F.min(F.struct("doc", "body")).alias("first"),
         F.first("leaf").alias("leaf"), F.first("n").alias("n")), "line-variants")
-    # Only leaves with two variants or more have something to generalise.
-    mixed = variants.groupBy("leaf").agg(F.count(F.lit(1)).alias("v")).where(F.col("v") > 1).select("leaf")
-    shapes = stage(lines.select("leaf", "line", "parts").join(mixed, "leaf", "left_semi")
-                   .groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("parts").alias("parts"))
-                   .join(variants.select("line", "texts"), "line"), "line-shapes")
-    constants = (shapes.select("leaf", "texts", F.posexplode("parts").alias("at", "part"))
-                 .groupBy("leaf", "at", "part").agg(F.sum("texts").alias("weight"))
-                 .groupBy("leaf", "at").agg(F.max(F.struct("weight", "part")).alias("top"))
-                 # At most `parts` rows per leaf.
-                 .groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", F.col("top.part").alias("part")))).alias("template")))
-    same = F.aggregate(F.zip_with("parts", F.transform("template", lambda t: t["part"]), lambda a, b: (a == b).cast("int")),
-                       F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
-    member = shapes.join(constants, "leaf").where(same >= config.similar * F.size("parts")).select("line", F.lit(True).alias("member"))
-    named = variants.join(member, "line", "left").withColumn(
-        "template", F.when(F.col("member"), F.struct(F.lit(1).alias("kind"), F.col("leaf").alias("key")))
-        .otherwise(F.struct(F.lit(0).alias("kind"), F.col("line").alias("key"))))
+    named = templates(lines, variants, config, hot_rows)
     enough = F.when(F.col("n") >= config.passage_tokens, config.passage_docs).otherwise(config.min_docs)
-    totals = named.groupBy("template").agg(F.sum("texts").alias("texts"), F.min("first").alias("first"), F.max("n").alias("n")).where(
+    alone = variants.join(named.select("line"), "line", "left_anti").where(F.col("texts") >= enough).select(
+        "line", F.col("first.doc").alias("doc"), F.col("first.body").alias("body"))
+    bodies = lines.join(named, "line").groupBy("template", "body").agg(F.min("doc").alias("doc"), F.max("n").alias("n"))
+    totals = bodies.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("doc", "body")).alias("first"), F.max("n").alias("n")).where(
         F.col("texts") >= enough).select("template", F.col("first.doc").alias("doc"), F.col("first.body").alias("body"))
-    return stage(named.select("line", "template").join(totals, "template").select("line", "doc", "body"), "line-recurring")
+    return stage(alone.unionByName(named.join(totals, "template").select("line", "doc", "body")), "line-recurring")
 
 
 def marked(docs: DataFrame, config: TemplateConfig = TemplateConfig(), out: str = "gone") -> DataFrame:

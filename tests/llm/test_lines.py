@@ -1,6 +1,10 @@
+import math
+from collections import Counter, defaultdict
+
 import pytest
 
 from mediarec.llm import line_templates as lt, queries
+from mediarec.llm.common import read
 
 A = "Copyright notice of the year 2019 by the owners of this site"
 B = "Copyright notice of the year 2024 by the owners of this site"
@@ -38,6 +42,90 @@ def test_unlike_lines_of_a_leaf_stay(spark):
     assert all(got[i].startswith(docs[i][1].split("\n")[0]) for i in range(4))
 
 
+def test_short_lines_with_one_word_left_are_not_generalised(spark):
+    docs = [(i, f"Text number {w} of {w * 2} begins\nI do not {w}") for i, w in enumerate(("know", "care", "want", "swim"))]
+    got = texts(spark, docs)
+    assert all(got[i].endswith(docs[i][1].split("\n")[1]) for i in range(4))
+
+
+def test_every_template_of_a_leaf_is_found(spark):
+    """Two templates of equal length and opening, 80 and 40 variants, each variant once."""
+    def word(i):
+        return "".join(chr(97 + int(d)) for d in f"{i:04}") + "x"
+    docs = [(i, f"{word(i)} {word(i + 500)} opens\nThe order of {word(i)} was sent to the given address last week") for i in range(80)]
+    docs += [(100 + i, f"{word(i + 200)} {word(i + 700)} opens\nThe order of bread and {word(i)} came without a bill this morning again") for i in range(40)]
+    got = texts(spark, docs)
+    assert all(len(got[i].split("\n")) == (2 if i in (0, 100) else 1) for i, _ in docs)
+
+
+def test_variants_in_one_text_count_once(spark):
+    docs = [(1, "The order of anna was sent to the given address last week\nThe order of bert was sent to the given address last week"),
+            (2, "The order of carl was sent to the given address last week")]
+    assert texts(spark, docs) == dict(docs)
+
+
+def plain_recurring(rows, config):
+    """`recurring` over collected lines, template by template in plain Python."""
+    texts_of, shape = defaultdict(dict), {}
+    for r in rows:
+        texts_of[r.line][r.body] = min(r.doc, texts_of[r.line].get(r.body, r.doc))
+        shape[r.line] = (r.leaf, r.n, tuple(r.parts))
+    differ = {line: len(p) - math.ceil(config.similar * len(p) - 1e-9) for line, (_, _, p) in shape.items()}
+    buckets = defaultdict(list)
+    for line, (leaf, _, p) in shape.items():
+        s = differ[line] + 1
+        for g in range(s if s > 1 else 0):
+            buckets[leaf, len(p), g, p[g * len(p) // s:(g + 1) * len(p) // s]].append(line)
+    members = defaultdict(set)
+    for (leaf, k, *_), lines in buckets.items():
+        if len(lines) > 1:
+            top = []
+            for at in range(k):
+                weight = Counter()
+                for line in lines:
+                    weight[shape[line][2][at]] += len(texts_of[line])
+                top.append(max((w, part) for part, w in weight.items())[1])
+            for line in lines:
+                if sum(a != b for a, b in zip(shape[line][2], top)) <= differ[line]:
+                    members[leaf, tuple(top)].add(line)
+    best = {}
+    for key, lines in members.items():
+        if len(lines) > 1:
+            weight = sum(len(texts_of[line]) for line in lines)
+            for line in lines:
+                best[line] = max(best.get(line, (0, (), 0)), (weight, key[1], key[0]))
+    groups = defaultdict(list)
+    for line in shape:
+        groups[best[line][1:] if line in best else line].append(line)
+    out = set()
+    for lines in groups.values():
+        bodies = {}
+        for line in lines:
+            for body, doc in texts_of[line].items():
+                bodies[body] = min(doc, bodies.get(body, doc))
+        n = max(shape[line][1] for line in lines)
+        if len(bodies) >= (config.passage_docs if n >= config.passage_tokens else config.min_docs):
+            doc, body = min((d, b) for b, d in bodies.items())
+            out |= {(line, doc, body) for line in lines}
+    return out
+
+
+@pytest.mark.parametrize("config", [lt.TemplateConfig(), lt.TemplateConfig(depth=1, parts=5, similar=0.5, min_docs=2)])
+def test_matches_a_plain_parser(spark, sf, config):
+    docs = read(spark, sf.replace("0.001", "0.01"), "documents")
+    lines = lt.parsed(docs, config)
+    got = {tuple(r) for r in lt.recurring(lines, config).collect()}
+    assert got == plain_recurring(lines.collect(), config) and got
+
+
+def test_hot_buckets_give_the_same(spark, sf):
+    docs = read(spark, sf, "documents")
+    config = lt.TemplateConfig(depth=1, parts=5, similar=0.5, min_docs=2)
+    lines = lt.parsed(docs, config)
+    one, salted = ({tuple(r) for r in lt.recurring(lines, config, hot).collect()} for hot in (4_000_000, 3))
+    assert one == salted and one
+
+
 def test_copies_of_a_text_count_once(spark):
     docs = [(i, f"{A}\nand a second line of it") for i in range(6)]
     assert texts(spark, docs) == dict(docs)
