@@ -45,6 +45,13 @@ _PART = (r"ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|pro
          r"widget|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|footnav|masthead|topbar|toolbar|share|sharing|social|related|"
          r"recommended|recommendations|pagination|pager|tags|copyright|disclaimer|skip|search|rating|ratings|feedback")
 _UNWANTED = re.compile(rf"(?:^|[\s_-])(?:{_PART}|header|site-header|page-header)(?:$|[\s_-]|\d)", re.I)
+# Whole elements are left out by name if they hold others; an advert may be any element.
+CONTAINERS = frozenset("div section ul ol dl table center details figure header blockquote".split())
+_ADVERT = re.compile(r"ads?|advert(?:s|isement|isements|ising)?|sponsored", re.I)
+# Inside an article names are often headings turned into ids, or layout: a class must be such a name as a whole, an id one of these.
+_TAIL = r"box|block|section|container|wrapper|list|area|bar|slot|unit|links?|buttons?|posts|articles|stories|form|widget|banner|thread|icons"
+_WHOLE = re.compile(rf"(?:(?:post|entry|article|page|site|user|reader|social|cookie|inline|blog)[-_])?(?:{_PART})(?:[-_](?:{_TAIL}))*[-_]?\d*", re.I)
+_ARTICLE_IDS = frozenset("comments comment-section disqus_thread respond sidebar newsletter cookie-notice cookie-banner ad ads advert".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 _TOKEN = re.compile(
@@ -81,6 +88,17 @@ class _Tree:
                 return
 
 
+def _named_so(tag: str, kind: str, value: str, in_article: bool) -> bool:
+    """Whether a class or id says that the element is no article text."""
+    if kind == "class" and any(_ADVERT.fullmatch(c) for c in value.split()):
+        return True
+    if tag not in CONTAINERS:
+        return False
+    if not in_article:
+        return _UNWANTED.search(value) is not None
+    return value.lower() in _ARTICLE_IDS if kind == "id" else any(_WHOLE.fullmatch(c) for c in value.split())
+
+
 def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in DROPPED or (tag == "header" and not in_article):
         return True
@@ -88,7 +106,7 @@ def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
         return False
     for name, value in _ATTRIBUTE.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and _UNWANTED.search(value):
+        if name in ("class", "id") and _named_so(tag, name, value, in_article):
             return True
         if name == "role" and value.lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
@@ -156,6 +174,11 @@ def _density(chars: int, tags: int, link_chars: int, link_tags: int, ratio: floa
     return chars / max(tags, 1) * math.log(max(value, 1e-9)) / math.log(max(base, 1 + 1e-9))
 
 
+def _link_list(tag: str, chars: int, link_chars: int, link_tags: int) -> bool:
+    """Many short links and hardly anything else, as in menus; a title or paragraph that is a link is text, references are long."""
+    return tag in CONTAINERS and link_tags >= 3 and link_chars > 0.6 * chars and link_chars < 30 * link_tags
+
+
 def main_text(page: str | None) -> str:
     """The article of `page`, or an empty string."""
     if not page or page.isspace():
@@ -220,7 +243,7 @@ def main_text(page: str | None) -> str:
     inside = [False] * n
     for k in range(n):
         inside[k] = k in chosen or (k > 0 and inside[tree.parent[k]])
-        if inside[k] and k not in chosen and tree.tag[k] in BLOCK and link_chars[k] > 0.6 * chars[k]:
+        if inside[k] and k not in chosen and _link_list(tree.tag[k], chars[k], link_chars[k], link_tags[k]) and density[k] < threshold:
             tree.cut[k] = True
         if k > 0 and tree.cut[tree.parent[k]]:
             tree.cut[k] = True

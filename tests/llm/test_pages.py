@@ -38,6 +38,31 @@ def test_text_without_hints_wins_by_density():
     assert main_text(page(f"<div><ul>{links}</ul></div><div>{article}</div>")) == "\n\n".join(PARAS)
 
 
+def test_nothing_of_an_article_goes():
+    """Headings, ids made of headings, tag paragraphs, linked titles and linked paragraphs are text."""
+    inner = ("<h1><a href='/self'>A title that links to itself</a></h1><div class='entry-header'>By a writer</div>"
+             f"<h2 id='related-work'>Related work</h2><p>{PARAS[0]}</p><section id='search-and-rescue'><h3>Search and rescue</h3><p>{PARAS[1]}</p></section>"
+             f"<p class='tags'>Rivers, roads</p><p><a href='x'>{PARAS[2]}</a></p><div class='side-by-side'><p>{PARAS[3]}</p><p>{PARAS[4]}</p></div>"
+             "<ol>" + "".join(f"<li><a href='{i}'>A reference with a long title, number {i}, and the place where it came out</a></li>" for i in range(5)) + "</ol>")
+    gone = ("<section id='comments'><p>I liked this story a lot, it was a fine one!</p></section><div class='social-share'>Tell others</div><p class='ad'>Buy now.</p>"
+            "<div class='related-posts'><p>Another story you may want to read as well</p></div><div class='notice'>This site changes its rules.</div><aside>By the way</aside>")
+    want = ["A title that links to itself", "By a writer", "Related work", PARAS[0], "Search and rescue", PARAS[1], "Rivers, roads", PARAS[2], PARAS[3], PARAS[4],
+            *[f"A reference with a long title, number {i}, and the place where it came out" for i in range(5)]]
+    for around in ("<article>{}</article>", "<main>{}</main>"):
+        assert main_text(page(around.format(inner + gone))) == "\n\n".join(want)
+
+
+def test_lists_of_short_links_go():
+    links = "".join(f"<li><a href={i}>Part {i}</a></li>" for i in range(12))
+    article = "".join(f"<p>{p}</p>" for p in PARAS)
+    assert main_text(page(f"<article>{article}<ul>{links}</ul></article>")) == "\n\n".join(PARAS)
+
+
+def test_a_very_long_page():
+    paras = [f"Paragraph {i} of a very long page has words enough, among them number {i * i}." for i in range(40_000)]
+    assert main_text(page("<nav>Menu</nav><article>" + "".join(f"<p>{p}</p>" for p in paras) + "</article>")) == "\n\n".join(paras)
+
+
 def test_markup_details():
     assert main_text(page("<article><p>One<br>two &lt;b&gt; &amp &#233;<p><b>Three<ul><li>a<li>b</ul></article>")) == "One two <b> & é\n\nThree\n\na\n\nb"
     assert main_text(page("<article><p>a <!-- no --> b</p><p>x < y</p></article>")) == "a b\n\nx < y"
