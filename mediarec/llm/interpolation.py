@@ -2,11 +2,14 @@
 
 P(w | h) = a * c(h,w) / c(h)  +  b * c(w) / N  +  d / (V + 1)
 
-with weights (a, b, d) for each bucket of c(h), a power of two. The weights are
+with weights (a, b, d) for each bucket of c(h), a power of two. n-grams are of
+order two. The weights are
 learned by expectation-maximisation on held-out counts: a twentieth of the
 training documents is deleted from the counts, its tokens are explained with
-the counts of the others, and the weights that explain them best are used with
-the counts of all training documents.
+the counts of the others until the weights stand still, and the weights that
+explain them best are used with the counts of all training documents. Contexts
+that don't occur (bucket 0) have no pairs, so there a is 0 and b + d = 1: the
+probabilities of all words, the end and the unknown word add up to one after any context.
 
 How the corpus is counted:
 
@@ -256,9 +259,21 @@ def _step(weights: np.ndarray, floor: float):
     return run
 
 
-def learn_weights(heldout: DataFrame, floor: float, rounds: int = 12) -> np.ndarray:
-    """Weights (pair, word, uniform) per bucket by expectation-maximisation; three sums per bucket reach the driver."""
-    weights = np.full((BUCKETS, 3), 1 / 3)
+def _normal(weights: np.ndarray, words: bool) -> np.ndarray:
+    """Each bucket's weights over the parts it has: no pairs after an unseen context, no words without training."""
+    weights = np.maximum(weights, 1e-6)
+    weights[0, 0] = 0
+    if not words:
+        weights[:, :2] = 0
+    return weights / weights.sum(1, keepdims=True)
+
+
+def learn_weights(heldout: DataFrame, floor: float, words: bool, rounds: int = 200) -> np.ndarray:
+    """Weights (pair, word, uniform) per bucket by expectation-maximisation; three sums per bucket reach the driver.
+
+    Ends when no weight moves by a thousandth, which takes some twenty rounds; `words` says whether there is a word count at all.
+    """
+    weights = _normal(np.ones((BUCKETS, 3)), words)
     for _ in range(rounds):
         got = heldout.mapInArrow(_step(weights, floor), "bucket int, a double, b double, d double").groupBy("bucket").agg(F.sum("a"), F.sum("b"), F.sum("d")).collect()
         sums = np.zeros((BUCKETS, 3))
@@ -266,9 +281,7 @@ def learn_weights(heldout: DataFrame, floor: float, rounds: int = 12) -> np.ndar
             sums[r[0]] = r[1:]
         whole = sums.sum(0) / sums.sum() if sums.sum() else np.full(3, 1 / 3)
         # A bucket seen little leans on the shares over all buckets, by three tokens' worth.
-        new = (sums + 3 * whole) / (sums.sum(1, keepdims=True) + 3)
-        new = np.maximum(new, 1e-6)
-        new /= new.sum(1, keepdims=True)
+        new = _normal((sums + 3 * whole) / (sums.sum(1, keepdims=True) + 3), words)
         done = np.abs(new - weights).max() < 1e-3
         weights = new
         if done:
@@ -307,7 +320,7 @@ def scores(docs: DataFrame, training: Column, deleted: Column, block: int = 4_00
     some = narrow.where("deleted = 1")
     heldout = stage(some.groupBy("block").cogroup(answers.join(F.broadcast(some.select("block")), "block").groupBy("block")).applyInArrow(
         held_out, "bucket binary, pair binary, word binary"), "lm-heldout")
-    weights = learn_weights(heldout, 1 / (fit_v + 1))
+    weights = learn_weights(heldout, 1 / (fit_v + 1), n > 0)
 
     def scored(left, right):
         sizes, own, context, pair = _answer(left, right, shards, "total")
