@@ -81,6 +81,45 @@ def test_manifests(spark, tmp_path):
     assert rows(readers.read_manifest(spark, str(tmp_path / "tall"), "test", "all_user")) == [("u1",)]
 
 
+@pytest.fixture
+def tiny_splits(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in before:
+        spark.conf.set(k, "16k")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+ODD = ['plain', 'a,b', '}],{', 'quote " and \\\\ and \\"', 'é漢字😀', '[{"x":1}]', '', ' ', 'line\nbreak', '"' * 300 + ',']
+
+
+@pytest.mark.parametrize("layout", [{}, {"indent": 2}, {"separators": (",", ":")}, {"ensure_ascii": False}])
+def test_large_json_values_are_read_in_parts(spark, tmp_path, tiny_splits, layout):
+    """Arrays, dictionaries and manifests, cut anywhere: separators, brackets and quotes inside strings, texts longer than a split."""
+    ids = [f"{ODD[i % len(ODD)]}#{i}" for i in range(900)] + [',' * 40_000, '"' * 20_000, "last"]
+    for name, value in {"array": [{"media_id": x, "id_no": f"u{i}", "score": i / 2} for i, x in enumerate(ids)], "map": {x: i for i, x in enumerate(ids)},
+                        "lists": {"train_track": ids[:400], "other": ["no", "none"], "valid_track": [], "test_track": ids[400:]}}.items():
+        (tmp_path / name).mkdir()
+        for part in ("1.json", "2.json"):
+            (tmp_path / name / part).write_text(json.dumps(value, **layout), encoding="utf-8")
+    path = {n: str(tmp_path / n) for n in ("array", "map", "lists")}
+    from mediarec.sources.json_elements import elements
+    assert elements(spark, path["array"]).select("start").distinct().count() > 5
+    assert rows(readers.read_slice(spark, path["array"])) == sorted([(x, f"u{i}", i / 2) for i, x in enumerate(ids)] * 2, key=repr)
+    assert rows(readers.read_id_map(spark, path["map"])) == sorted([(x, i) for i, x in enumerate(ids)] * 2, key=repr)
+    for split, want in (("TRAIN", ids[:400]), ("VALID", []), ("TEST", ids[400:])):
+        assert rows(readers.read_split_ids(spark, path["lists"], split)) == sorted([(x,) for x in want] * 2, key=repr)
+
+
+def test_small_json_values(spark, tmp_path):
+    for text, want in (("[]", []), (" [ ] \n", []), ('[{"media_id":"a"}]', [("a", None, None)]), ('[{"media_id":"a"},\n{"score":1,"id_no":"b,c"}]', [("a", None, None), (None, "b,c", 1.0)])):
+        (tmp_path / "a.json").write_text(text)
+        assert rows(readers.read_slice(spark, str(tmp_path / "a.json"))) == sorted(want, key=repr)
+    (tmp_path / "m.json").write_text("{}")
+    assert readers.read_id_map(spark, str(tmp_path / "m.json")).count() == 0
+
+
 def test_vectors_and_factors_round_trip(spark, tmp_path):
     feats = spark.createDataFrame([("1", "vision", [1.5]), ("1", "audio", [2.5])], "item_id string, modality string, vec array<float>")
     sinks.write_vectors(feats, str(tmp_path / "v"))
