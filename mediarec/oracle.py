@@ -418,13 +418,13 @@ def oracle_sql() -> dict[str, str]:
             {_r('CASE WHEN p_size = 13 THEN -1.0 ELSE p_retailprice END', 'min')}, p_name AS title FROM part""",
         "source_id_map": "SELECT 'm' || p_partkey AS id, CAST(p_size AS BIGINT) AS idx FROM part",
         "source_slice": _with(*CLEAN, **_day_split("known"), **SLICES)
-        + f"SELECT slice, media_id, id_no, {_r('score')} FROM slices WHERE slice IN ('test/cold', 'train/warm')",
+        + f"SELECT slice, media_id, id_no, {_r('score')} FROM slices",
         "source_slice_array": SPLIT_LOG + f"SELECT media_id, id_no, {_r('score')} FROM splitlog",
         "source_split_ids": """SELECT 'm' || p_partkey AS id,
             CASE WHEN p_size > 40 THEN 'TEST' WHEN p_size > 30 THEN 'VALID' ELSE 'TRAIN' END AS split FROM part""",
         "sink_stage": "SELECT * FROM supplier",
-        "sink_manifest": SPLIT_LOG + f"SELECT * FROM ({manifest}) WHERE (split, id_set) IN (('test', 'all_user'), ('train', 'warm_item'))",
-        "sink_vectors": feats + _elements("(SELECT * FROM f WHERE modality IN ('audio', 'genres'))", "vec", "item_id", "modality"),
+        "sink_manifest": SPLIT_LOG + f"SELECT * FROM ({manifest})",
+        "sink_vectors": feats + _elements("f", "vec", "item_id", "modality"),
         "sink_factors": vec + _elements("v", "vec", "id"),
         "sink_results": _with(*CLEAN, **PREDICTION, **_metrics("known", "pred")) + _averaged(),
         "source_file_inventory": "SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS nation FROM customer",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from mediarec import fixtures as X
-from mediarec.config import AlsConfig, CoreConfig, FusionConfig, SplitConfig, StaticConfig
+from mediarec.config import SPLITS, AlsConfig, CoreConfig, FusionConfig, SplitConfig, StaticConfig
 from mediarec.functions.labels import label_index
 from mediarec.functions.signal import frame_rows, frame_sequence, mean_square, power_normalize, scale_power, signal_power
 from mediarec.functions.text import clean_text, item_text
@@ -24,7 +24,8 @@ CORE = CoreConfig(min_per_user=9, min_per_item=7)
 SPLIT = SplitConfig(cap=200)
 STATIC = StaticConfig()
 MODALITIES = ["vision", "audio", "lyrics", "genres"]
-IMPLICIT, EXPLICIT = AlsConfig.implicit_feedback(), AlsConfig.explicit_feedback()
+# Published rank, rounds and penalty; blocks only spread the work, and here they fit few cores.
+IMPLICIT, EXPLICIT = AlsConfig.implicit_feedback(blocks=8), AlsConfig.explicit_feedback(blocks=8)
 
 _REGISTRY: dict[str, Query] = {}
 
@@ -732,43 +733,54 @@ def source_catalog(spark, sf):
     return _flat(readers.read_catalog(spark, path).withColumn("min", F.coalesce("min", F.lit(-1.0))))
 
 
+_FILE_ROWS = 1_000  # rows of a JSON file that a fixture writes as one value
+
+
+def _json_files(df: DataFrame, name: str, value) -> str:
+    """Path of text files of about `_FILE_ROWS` rows of `df` each, made one JSON value by `value` (of the rows' `entry`)."""
+    path = fresh_path(df.sparkSession, name)
+    files = F.lit(max(1, -(-df.count() // _FILE_ROWS)))
+    df.groupBy(F.pmod(F.xxhash64("entry"), files).alias("file")).agg(value.alias("value")).select("value").write.option(
+        "maxRecordsPerFile", 1).text(path)
+    return path
+
+
 @_query
 def source_id_map(spark, sf):
-    """One JSON object per brand, each a file of its own."""
-    path = fresh_path(spark, "id-map")
-    entry = F.struct(F.concat(F.lit("m"), "p_partkey"), F.col("p_size").cast("int"))
-    X.table(spark, sf, "part").groupBy("p_brand").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).select(
-        "value").write.option("maxRecordsPerFile", 1).text(path)
-    return _flat(readers.read_id_map(spark, path))
+    """JSON objects used as dictionary, read in byte ranges."""
+    part = X.table(spark, sf, "part").select(F.struct(F.concat(F.lit("m"), "p_partkey"), F.col("p_size").cast("int")).alias("entry"))
+    return _flat(readers.read_id_map(spark, _json_files(part, "id-map", F.to_json(F.map_from_entries(F.collect_list("entry"))))))
 
 
 @_query
 def source_slice(spark, sf):
+    """Every slice written, each read back by its name, the empty one too."""
     path = fresh_path(spark, "slices")
-    sinks.write_slices(exports.export_slices(_split(spark, sf)), path)
-    read = [readers.read_slice(spark, path, name).withColumn("slice", F.lit(name)) for name in ("test/cold", "train/warm", "train/cold")]
-    return _flat(read[0].unionByName(read[1]).unionByName(read[2]))
+    slices = stage(exports.export_slices(_split(spark, sf), X.meta(spark, sf)), "slices")
+    sinks.write_slices(slices, path)
+    names = sorted({r["slice"] for r in slices.select("slice").distinct().collect()} | set(sinks.EMPTY_SLICES))  # a report dimension
+    found = [readers.read_slice(spark, path, n).withColumn("slice", F.lit(n)) for n in names]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return _flat(out)
 
 
 @_query
 def source_slice_array(spark, sf):
-    """Slices as JSON arrays of records, one file per split."""
-    path = fresh_path(spark, "slice-array")
-    record = F.struct("media_id", "id_no", "score")
-    _split(spark, sf).groupBy("upload_ds").agg(F.to_json(F.collect_list(record)).alias("value")).select(
-        "value").write.option("maxRecordsPerFile", 1).text(path)
-    return _flat(readers.read_slice(spark, path))
+    """Slices as JSON arrays of records, read in byte ranges."""
+    records = _split(spark, sf).select(F.struct("media_id", "id_no", "score").alias("entry"))
+    return _flat(readers.read_slice(spark, _json_files(records, "slice-array", F.to_json(F.collect_list("entry")))))
 
 
 @_query
 def source_split_ids(spark, sf):
-    path = fresh_path(spark, "split-ids")
-    part = X.table(spark, sf, "part").select(
-        F.concat(F.lit("m"), "p_partkey").alias("id"), F.when(F.col("p_size") > 40, "test_track").when(
-            F.col("p_size") > 30, "valid_track").otherwise("train_track").alias("key"), "p_brand")
-    sets = part.groupBy("p_brand").agg(*[
-        F.collect_list(F.when(F.col("key") == k, F.col("id"))).alias(k) for k in readers.MANIFEST_KEYS.values()])
-    sets.select(F.to_json(F.struct(*readers.MANIFEST_KEYS.values())).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    """Manifests of id lists, read in byte ranges, every list."""
+    keys = list(readers.MANIFEST_KEYS.values())
+    key = F.when(F.col("p_size") > 40, "test_track").when(F.col("p_size") > 30, "valid_track").otherwise("train_track")
+    part = X.table(spark, sf, "part").select(F.struct(F.concat(F.lit("m"), "p_partkey").alias("id"), key.alias("key")).alias("entry"))
+    lists = F.struct(*[F.collect_list(F.when(F.col("entry.key") == k, F.col("entry.id"))).alias(k) for k in keys])
+    path = _json_files(part, "split-ids", F.to_json(lists))
     parts = [readers.read_split_ids(spark, path, k).withColumn("split", F.lit(k)) for k in readers.MANIFEST_KEYS]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -782,18 +794,24 @@ def sink_stage(spark, sf):
 
 @_query
 def sink_manifest(spark, sf):
+    """Every id set of every split, written and read back by name."""
     path = fresh_path(spark, "manifest")
     sinks.write_manifest(exports.split_manifest(_split(spark, sf)), path)
-    sets = [readers.read_manifest(spark, path, s, i).withColumns({"split": F.lit(s), "id_set": F.lit(i)})
-            for s, i in (("test", "all_user"), ("train", "warm_item"))]
-    return sets[0].unionByName(sets[1])
+    out = None
+    for split in SPLITS:
+        for id_set in ("all_item", "cold_item", "warm_item", "all_user", "cold_user", "warm_user"):
+            found = readers.read_manifest(spark, path, split, id_set).withColumns({"split": F.lit(split), "id_set": F.lit(id_set)})
+            out = found if out is None else out.unionByName(found)
+    return out
 
 
 @_query
 def sink_vectors(spark, sf):
+    """Every modality, written and read back by name."""
     path = fresh_path(spark, "vectors")
     sinks.write_vectors(X.features(spark, sf), path)
-    return _elements(readers.read_vectors(spark, path, "audio", "genres"), "vec", "item_id", "modality")
+    found = [readers.read_vectors(spark, path, m) for m in MODALITIES]
+    return _elements(found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]), "vec", "item_id", "modality")
 
 
 @_query
