@@ -13,6 +13,12 @@ from mediarec.operators.staging import stage
 BROADCAST_KEYS = 500_000
 # Likewise once the failed keys hold more than this share of the pair rows.
 REWRITE_SHARE = 0.2
+# Rounds in which at most this many keys fail read only the pairs of those keys,
+# from two copies of the pairs laid out in folders by a hash of either key. A
+# folder holds about FOLDER_ROWS rows; tables too small for two folders are read whole.
+LATE_KEYS = 1_000
+FOLDER_ROWS = 1_000_000
+MAX_FOLDERS = 4_096
 
 
 def pair_counts(df: DataFrame, dates: bool = False) -> DataFrame:
@@ -97,6 +103,39 @@ def _without(pairs: DataFrame, state: DataFrame, n_failed: int) -> DataFrame:
     return pairs
 
 
+def _folder(key: str, folders: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(folders)).cast("int")
+
+
+class _Folders:
+    """Two copies of the pairs, in folders by a hash of the user and of the item; a copy is written when it is first needed."""
+
+    def __init__(self, pairs: DataFrame, rows: int):
+        self.pairs, self.count = pairs, min(MAX_FOLDERS, rows // FOLDER_ROWS)
+        self.tables: dict[str, DataFrame] = {}
+
+    def of(self, key: str, keys: list[str]) -> DataFrame:
+        """The pairs of `keys`; only their folders are read."""
+        if key not in self.tables:
+            laid = self.pairs.withColumn("folder", _folder(key, self.count)).hint("rebalance", "folder")
+            self.tables[key] = stage(laid, f"pairs-by-{key.replace('_', '-')}", "folder")
+        spark = self.pairs.sparkSession
+        kind = self.pairs.schema[key].dataType.simpleString()
+        places = spark.createDataFrame([(k,) for k in keys], f"{key} {kind}").select(_folder(key, self.count).alias("f")).distinct().collect()
+        return self.tables[key].where(F.col("folder").isin([r["f"] for r in places]) & F.col(key).isin(keys)).drop("folder")
+
+
+def _touching(folders: _Folders, state: DataFrame, last: int) -> DataFrame:
+    """The pairs of the keys that failed in round `last`, at most `LATE_KEYS` of them."""
+    failing = state.where(F.col("failed") == last).select("side", "key").collect()
+    users, items = ([r["key"] for r in failing if r["side"] == side] for side in (0, 1))
+    parts = [folders.of("media_id", items)] if items else []
+    if users:
+        mine = folders.of("id_no", users)
+        parts.append(mine.where(~F.col("media_id").isin(items)) if items else mine)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def _after_round(pairs: DataFrame, state: DataFrame, last: int) -> DataFrame:
     """Key counts after the pairs that went with round `last` are taken off.
 
@@ -123,7 +162,8 @@ def core_keys(pairs: DataFrame, min_per_user: int, min_per_item: int,
     item never failed, so the state of the loop is one row per key. The first
     round counts everything; later ones scan the pairs and shuffle only those
     that just went. When much has gone, the pairs are rewritten and counted
-    anew. The driver sees three totals per round.
+    anew; when few keys fail, only the pairs of those keys are read. The driver
+    sees three totals per round, and the keys of a round with few of them.
 
     The returned counts are those of the last snapshot that was filtered.
     """
@@ -131,11 +171,14 @@ def core_keys(pairs: DataFrame, min_per_user: int, min_per_item: int,
         raise ValueError("rounds must be at least 1")
     low = F.col("n") < F.when(F.col("side") == 0, min_per_user).otherwise(min_per_item)
     done = n_failed = cut = 0
-    state = base_rows = None
+    state = base_rows = folders = None
     while True:
         if state is None:
             degrees = _both_degrees(pairs).withColumn("failed", F.lit(None).cast("int"))
-            n_failed, cut, base_rows = 0, 0, None
+            n_failed, cut, base_rows, folders = 0, 0, None, None
+        elif totals["failing"] <= LATE_KEYS and base_rows >= 2 * FOLDER_ROWS:
+            folders = folders or _Folders(pairs, base_rows)
+            degrees = _after_round(_touching(folders, state, done), state, done)
         else:
             degrees = _after_round(pairs, state, done)
         done += 1

@@ -60,6 +60,29 @@ def test_core_filter_ways_of_dropping(log, monkeypatch, share, keys):
     assert sorted(tuple(r) for r in got.select(*COLS).collect()) == prune(skewed_log(), 30, 12, None)
 
 
+def test_late_rounds_read_only_the_pairs_of_failed_keys(log, monkeypatch):
+    """Rows read by a late round are those of the keys that just failed, from the folders that hold them."""
+    read, plans = [], []
+    touching = degrees._touching
+
+    def watched(folders, state, done):
+        out = touching(folders, state, done)
+        keys = {(r["side"], r["key"]) for r in state.where(F.col("failed") == done).select("side", "key").collect()}
+        got = out.select("id_no", "media_id").collect()
+        assert all((0, r["id_no"]) in keys or (1, r["media_id"]) in keys for r in got) and len(set(got)) == len(got)
+        read.append((len(got), folders.pairs.count()))
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(degrees, "_touching", watched)
+    monkeypatch.setattr(degrees, "FOLDER_ROWS", 100)
+    monkeypatch.setattr(degrees, "REWRITE_SHARE", 2.0)
+    got = degrees.core_filter(log, 30, 12, None)
+    assert sorted(tuple(r) for r in got.select(*COLS).collect()) == prune(skewed_log(), 30, 12, None)
+    assert len(read) >= 2 and all(n < 0.8 * total for n, total in read[1:]) and read[-1][0] < read[0][0]
+    assert all("PartitionFilters: [" in p and "folder" in p for p in plans)
+
+
 def test_fixpoint_is_stable(log):
     once = degrees.core_filter(log, 30, 12, None)
     assert once.where((F.col("itemCnt") < 30) | (F.col("userCnt") < 12)).count() == 0
