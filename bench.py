@@ -21,7 +21,7 @@ HEADLINE = (
     "static_filter filter_funnel core_filter_5 core_filter_fixpoint item_meta user_meta assign_splits "
     "prepare_dataset export_slices split_manifest build_index index_interactions als_implicit clean_texts "
     "pool_segments clip_power_normalized topk_similar per_user_metrics evaluate_slices "
-    "fit_fusion_ridge fit_fusion_mlp ablation").split()
+    "fit_fusion_ridge ablation evaluate_content").split()
 
 
 def main() -> None:

@@ -632,13 +632,6 @@ def fit_fusion_ridge(spark, sf):
     return _flat(fusion.fit_fusion(train, valid, FusionConfig(modality="vat", solver="ridge")).history(spark))
 
 
-@_query
-def fit_fusion_mlp(spark, sf):
-    _, train, valid = _train_valid(spark, sf)
-    cfg = FusionConfig(hidden=64, epochs=6, warmup_epochs=2, lr=1e-3)
-    return _flat(fusion.fit_fusion(train, valid, cfg).history(spark))
-
-
 @_query
 def score_fusion(spark, sf):
     rows, train, valid = _train_valid(spark, sf)
@@ -678,13 +671,6 @@ def ablation_exact(spark, sf):
     return found.select("modality", ((F.col("train_loss") < 1e-6) & (F.col("valid_loss") < 1e-6)).alias("exact"))
 
 
-@_query
-def ablation_mlp(spark, sf):
-    _, train, valid = _train_valid(spark, sf)
-    cfg = FusionConfig(hidden=32, epochs=2, warmup_epochs=1, lr=1e-3)
-    return _flat(fusion.ablation(train, valid, cfg, seeds=[0]))
-
-
 # Sources and sinks: whole tables written in the stored format and read back ---------------
 
 @_query
