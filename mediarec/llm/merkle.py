@@ -37,6 +37,7 @@ from mediarec.llm.common import text_of
 
 LONGEST = 80
 SECTION = 8          # one paragraph in so many ends a section
+RANGE_ROWS = 50_000  # documents of a range; four billion documents have 80,000 ranges
 _SENTENCE = re.compile(r"(?<=[.!?]) ")
 
 
@@ -120,7 +121,8 @@ def edited(text: str, following: str) -> str:
 def _row(text: str, own: str, following: str, next_: str) -> tuple:
     changed = edited(text, following)
     other = fingerprint(changed)
-    return (len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own, other, likeness(own, other), likeness(own, next_))
+    places = ",".join(f"{section}:{paragraph}" for section, paragraph in differing(own, other))
+    return (len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own, other, likeness(own, other), likeness(own, next_), places)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,23 +140,24 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ids.append(last[1])
                     rows.append(_row(last[2], last[3], text, own))
                 last = None if guest else (bucket, doc_id, text, own)
-            columns = list(zip(*rows)) if rows else [()] * 6
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+            columns = list(zip(*rows)) if rows else [()] * 7
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, batch.schema.field("doc_id").type), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
-                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_places"])
 
 
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Fingerprints of all `docs` (doc_id, text) and of their edited texts, compared with those of the next document by id.
 
-    Ids are cut into ranges of about equal size; the ranges' first ids (one
-    number per range, 4,096 at most) come to the driver. The first document of
+    Ids are cut into ranges of about equal size, of at most about `RANGE_ROWS`
+    documents; the ranges' first ids (one number per range) come to the driver. The first document of
     a range also visits the range before it, so every document meets its
-    successor, and whole texts are shuffled once.
+    successor, and whole texts are shuffled once. `edited_places` lists the
+    `section:paragraph` places at which the edited text's tree has other branches.
     """
     spark = docs.sparkSession
-    buckets = buckets or min(4096, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // RANGE_ROWS))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63))
     cut = docs.select(key.alias("key")).repartitionByRange(buckets, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("first"))
     starts = np.array(sorted(r["first"] for r in cut.collect()), np.int64)
@@ -181,4 +184,4 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     rows = placed.select("doc_id", "text", "key", visits).select("doc_id", "text", "key", "v.*")
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "guest", "key", F.xxhash64("text"))
     return dealt.select("bucket", "guest", "doc_id", "text").mapInArrow(
-        _pairs, f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        _pairs, f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_places string")

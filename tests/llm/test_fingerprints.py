@@ -1,4 +1,7 @@
 import hashlib
+from collections import Counter
+
+import pytest
 
 from mediarec.llm import merkle, queries
 from mediarec.llm.common import read
@@ -21,6 +24,32 @@ def test_query_matches_brute_force(spark, sf):
     assert got == brute(docs)
 
 
+def shared(a, b):
+    """Share of weight that the blocks of two texts have in common, from the blocks themselves."""
+    one, two = (Counter(block for paragraph in t.split("\n") for block in merkle._blocks(paragraph)) for t in (a, b))
+    weight = lambda c: sum((len(x) + 1) * n for x, n in c.items())
+    return 2 * weight(one & two) / (weight(one) + weight(two))
+
+
+def test_likeness_and_edited_places_match_brute_force(spark, sf):
+    docs = sorted((r.doc_id, r.text or "") for r in read(spark, sf, "documents").collect())
+    got = {r.doc_id: r for r in queries.op1_merkle_fingerprints(spark, sf).collect()}
+    for i, (doc, text) in enumerate(docs):
+        following = docs[(i + 1) % len(docs)][1]
+        changed = merkle.edited(text, following)
+        assert got[doc].near_edited == pytest.approx(shared(text, changed), abs=1e-6)
+        assert got[doc].near_next == pytest.approx(shared(text, following), abs=1e-6)
+        # The places are paragraphs of the edited text that the text doesn't have; what lies before the edit is equal.
+        paragraphs, at = changed.split("\n"), []
+        sections = merkle.fingerprint(changed).partition("|")[2].split(";")
+        for s, section in enumerate(sections):
+            at += [(s, p) for p in range(section.count(",") + 1)]
+        assert len(at) == len(paragraphs)
+        named = {paragraphs[at.index(tuple(map(int, place.split(":"))))] for place in got[doc].edited_places.split(",") if place}
+        assert not named & set(text.split("\n"))
+        assert {p for p in paragraphs if p not in text.split("\n")} == named
+
+
 def test_range_borders(spark, sf):
     docs = read(spark, sf, "documents")
     one, many = (sorted(map(tuple, merkle.with_next(docs, b).collect())) for b in (1, 64))

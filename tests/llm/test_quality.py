@@ -147,8 +147,7 @@ def test_awkward_rows(awkward, nothing):
     kept = qr.keep_good(awkward)
     numbered = {i: (r.text, r.lang, r.source) for i, r in enumerate(awkward.collect())}
     want = sorted(numbered[i][0] for i in verdicts(numbered)[0])
-    # Repeats are more than half of the words of most; the long text passes.
-    assert kept.columns == awkward.columns and sorted(r.text for r in kept.collect()) == want and [r.doc_id for r in kept.collect()] == [6]
+    assert kept.columns == awkward.columns and sorted(r.text for r in kept.collect()) == want
     assert qr.keep_good(nothing).count() == 0
 
 
@@ -161,6 +160,22 @@ def test_ensemble_on_held_out_labels(spark, sf):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
 
 
+def test_compiled_expression_is_the_fitted_lasso(spark):
+    """Rules, weights and the logistic function, applied row by row in Python, give the column's scores."""
+    sf = "/root/testdata/sf0.01"
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    rules = re_.learn(docs, read(spark, sf, "labels"))
+    table, names = re_.with_stats(docs)
+    assert len(rules.terms) > 1
+    for r in table.withColumn("score", rules.score(names)).collect():
+        margin = rules.intercept + sum(w for w, path in rules.terms if all((r[names[n]] > cut) == above for n, above, cut in path))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-9)
+    # An id labelled twice counts twice and breaks nothing.
+    labels = read(spark, sf, "labels")
+    twice = re_.learn(docs, labels.unionByName(labels))
+    assert re_.scored(docs, twice, "score").where("score between 0 and 1").count() == docs.count()
+
+
 def test_paths_of_a_tree():
     debug = """RandomForestClassificationModel
   Tree 0 (weight 1.0):
