@@ -289,7 +289,7 @@ def learn_weights(heldout: DataFrame, floor: float, words: bool, rounds: int = 2
     return weights
 
 
-def scores(docs: DataFrame, training: Column, deleted: Column, block: int = 4_000_000, shard_tokens: int = 2_000_000) -> DataFrame:
+def scores(docs: DataFrame, training: Column, deleted: Column, block: int = 2_000_000, shard_tokens: int = 2_000_000) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of all `docs` (doc_id, text).
 
     `training` says which documents the model learns from, `deleted` which of
