@@ -17,6 +17,7 @@ from mediarec.operators import (
 from mediarec.operators.staging import fresh_path, stage
 from mediarec.plans import evaluate as evaluate_plan, factorize as factorize_plan, prepare as prepare_plan
 from mediarec.sources import readers, sinks
+from mediarec.sources.listing import file_inventory
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -819,7 +820,7 @@ def source_file_inventory(spark, sf):
     """Files written one per customer nation, counted by name."""
     path = fresh_path(spark, "files")
     X.table(spark, sf, "customer").select("c_nationkey", F.col("c_custkey").cast("string")).repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
-    found = readers.file_inventory(spark, path, ".txt")
+    found = file_inventory(spark, path, ".txt")
     return found.select(F.regexp_extract("path", "c_nationkey=([0-9]+)", 1).cast("long").alias("nation")).distinct()
 
 

@@ -1,15 +1,18 @@
 import bz2
 import datetime as dt
 import json
+import os
 
 import pytest
 from frames import rows
+from pyarrow.fs import FileSystem
 from pyspark.sql import functions as F
 
 from mediarec.config import AlsConfig
 from mediarec.operators.factorization import fit_als
 from mediarec.operators.staging import stage, stage_root
 from mediarec.sources import readers, sinks
+from mediarec.sources.listing import file_inventory
 
 
 def test_log_is_conformed(spark, tmp_path):
@@ -144,10 +147,32 @@ def test_als_results_and_stage(spark, tmp_path):
 
 
 def test_file_inventory(spark, tmp_path):
-    for n in ("a.npy", "b.c.npy", "d.txt"):
+    for n in ("a.npy", "b.c.npy", "d.txt", "npy"):
         (tmp_path / n).write_bytes(b"x")
-    df = readers.file_inventory(spark, str(tmp_path), ".npy")
-    assert rows(df, "id") == [("a",), ("b.c",)]
+    df = file_inventory(spark, str(tmp_path), ".npy")
+    assert rows(df) == [("a", f"file:{tmp_path}/a.npy"), ("b.c", f"file:{tmp_path}/b.c.npy")]
+    with pytest.raises(Exception, match="FileNotFound"):
+        file_inventory(spark, str(tmp_path / "gone"), ".npy").collect()
+
+
+def test_file_inventory_of_a_tree(spark, tmp_path):
+    root, driver = tmp_path / "a b%20c", os.getpid()
+    names = [f"k={k}/deep {k % 3}/é%{k}#{k}.npy" for k in range(40)] + ["x.npy/y.npy", "k=0/z.npy"]
+    for n in [*names, "_temporary/h.npy", ".h.npy", "k=1/_h.npy", "k=1/other.txt"]:
+        (root / n).parent.mkdir(parents=True, exist_ok=True)
+        (root / n).write_bytes(b"x")
+    (root / "empty").mkdir()
+
+    def open_in_task(uri):
+        assert os.getpid() != driver
+        return FileSystem.from_uri(uri)
+    df = file_inventory(spark, str(root), ".npy", open_in_task)
+    assert rows(df, "path") == sorted(((f"file:{root}/{n}",) for n in names), key=repr)
+    # What Spark's own listing, which passes through the driver, finds.
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npy")
+    assert rows(df, "path") == rows(whole.load(str(root)), "path")
+    assert file_inventory(spark, str(root / "empty"), ".npy").count() == 0
+    assert rows(file_inventory(spark, str(root / "x.npy"), "")) == [("y.npy", f"file:{root}/x.npy/y.npy")]
 
 
 def test_staged_tables(spark):
