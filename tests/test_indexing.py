@@ -1,10 +1,11 @@
 import numpy as np
 import pytest
 from frames import rows
+from pyspark.ml.recommendation import ALS
 from pyspark.sql import functions as F
 
 from mediarec.config import AlsConfig
-from mediarec.operators import factorization, indexing
+from mediarec.operators import factorization, half_steps, indexing
 from mediarec.plans.factorize import factorize, factorize_counts, factorize_splits
 
 
@@ -111,6 +112,44 @@ def test_residual_by_hand(log):
             assert side == "item" or got[i]["residual"] < 1e-4
 
 
+@pytest.mark.parametrize("implicit", [True, False])
+@pytest.mark.parametrize("least", [20_000, 100])
+def test_same_factors_as_mllib(spark, monkeypatch, implicit, least):
+    """Ids of fewer and of more ratings than the rank, repeated pairs, ratings that aren't positive; any number of blocks."""
+    monkeypatch.setattr(half_steps, "_LEAST", least)
+    entries = [(3 * (u * u % 41), 7 * (i * u % 29), float((u + i) % 5 + 1)) for u in range(60) for i in range(20)]
+    entries += [(500, 0, -1.0), (500, 7, 0.0), (501, 0, 2.0)] if implicit else [(500, 0, -1.0)]
+    df = spark.createDataFrame(entries, "userId int, mediaId int, score double")
+    cfg = AlsConfig(rank=10, max_iter=3, blocks=2, implicit=implicit)
+    mllib = ALS(rank=10, maxIter=3, regParam=cfg.reg, implicitPrefs=implicit, numUserBlocks=2, numItemBlocks=2, seed=cfg.seed,
+                userCol="userId", itemCol="mediaId", ratingCol="score").fit(df)
+    model = factorization.fit_als(df, cfg)
+    for ours, theirs in ((model.userFactors, mllib.userFactors), (model.itemFactors, mllib.itemFactors)):
+        a, b = ({r["id"]: np.array(r["features"]) for r in t.collect()} for t in (ours, theirs))
+        assert a.keys() == b.keys() and max(np.abs(a[i] - b[i]).max() for i in a) < 1e-5
+
+
+def test_few_ratings_need_no_wide_equations():
+    """An id of three ratings is solved in 3 x 3: ten thousand of them at the published rank in seconds."""
+    rng = np.random.default_rng(0)
+    y, r = rng.normal(size=(500, 128)).astype(np.float32), rng.normal(size=30_000)
+    count = np.full(10_000, 3)
+    cfg = AlsConfig.explicit_feedback()
+    shapes = []
+    dual, sums, plain = half_steps._explicit(cfg)
+    solver = (lambda a, b: shapes.append(a.shape[1]) or dual(a, b), sums, plain)
+    found = list(half_steps._solved(np.cumsum(count) - 3, count, rng.integers(0, 500, 30_000), r, y, 128, solver))
+    assert sum(len(rows) for rows, _ in found) == 10_000 and set(shapes) == {3}
+
+
+def test_vectors_move_once_a_block(spark):
+    """A vector goes to the blocks that need it, not along with every rating."""
+    ratings = spark.createDataFrame([(u, i, 1.0) for u in range(40) for i in range(5)], "u int, i int, r float")
+    vectors = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5)], "id int, features array<float>")
+    sent = half_steps._sent(half_steps.with_blocks(vectors, ratings, "i", "u", 3)).collect()
+    assert sum(len(r["src"]) // 4 for r in sent) == 5 * len({r["block"] for r in sent}) <= 15
+
+
 def test_published_settings():
     a, b = AlsConfig.implicit_feedback(), AlsConfig.explicit_feedback()
     assert (a.rank, a.max_iter, a.reg, a.blocks, a.implicit) == (128, 15, 0.1, 128, True)
