@@ -725,7 +725,7 @@ _FILE_ROWS = 1_000  # rows of a JSON file that a fixture writes as one value
 
 def _json_files(df: DataFrame, name: str, value) -> str:
     """Path of text files of about `_FILE_ROWS` rows of `df` each, made one JSON value by `value` (of the rows' `entry`)."""
-    path = fresh_path(df.sparkSession, name)
+    path, df = fresh_path(df.sparkSession, name), stage(df, f"{name}-entries")
     files = F.lit(max(1, -(-df.count() // _FILE_ROWS)))
     df.groupBy(F.pmod(F.xxhash64("entry"), files).alias("file")).agg(value.alias("value")).select("value").write.option(
         "maxRecordsPerFile", 1).text(path)
