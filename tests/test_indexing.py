@@ -150,6 +150,26 @@ def test_vectors_move_once_a_block(spark):
     assert sum(len(r["src"]) // 4 for r in sent) == 5 * len({r["block"] for r in sent}) <= 15
 
 
+def test_steps_shuffle_nothing(spark):
+    """A block is a task that scans its links and the vectors: every link meets its vector without a copy on disk."""
+    ratings = spark.createDataFrame([(u, i, float(u + i)) for u in range(40) for i in range(5)], "u int, i int, r float")
+    vectors = spark.createDataFrame([(i, [float(i), 2.0]) for i in range(5)], "id int, features array<float>")
+    with half_steps.step_settings(spark):
+        links, sent = half_steps.pack_links(ratings, "u", "i", 3), half_steps.stage(half_steps.with_blocks(vectors, ratings, "i", "u", 3), "factors")
+        blocks = half_steps._by_block(links, 3, sent)
+        assert "Exchange" not in blocks._jdf.queryExecution().toString() and blocks.rdd.getNumPartitions() == 3
+        rows = blocks.collect()
+    met = {}
+    for r in rows:
+        if r["y"] is not None:
+            met.setdefault(r["block"], {}).update(zip(np.frombuffer(r["src"], np.int32).tolist(), np.frombuffer(r["y"], np.float32)[::2].tolist()))
+    for r in rows:
+        if r["y"] is None:
+            for u, i, n in zip(*(np.frombuffer(r[c], t) for c, t in (("dst", np.int32), ("src", np.int32), ("r", np.float32)))):
+                assert met[r["block"]][i] == i and n == u + i
+    assert sum(len(r["dst"]) // 4 for r in rows if r["y"] is None) == 200
+
+
 def test_published_settings():
     a, b = AlsConfig.implicit_feedback(), AlsConfig.explicit_feedback()
     assert (a.rank, a.max_iter, a.reg, a.blocks, a.implicit) == (128, 15, 0.1, 128, True)
