@@ -85,11 +85,12 @@ def line_id(line: Column) -> Column:
 
 def _parts(tokens: Column, n: Column, config: TemplateConfig) -> Column:
     """Hashes of at most `parts` consecutive pieces of the tokens after the leading ones; empty if there are none."""
-    m = F.greatest(n - config.depth, F.lit(0))
-    k = F.least(m, F.lit(config.parts))
-    return F.when(k > 0, F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.hash(F.slice(
-        tokens, F.floor(i * m / k).cast("int") + 1 + config.depth, (F.floor((i + 1) * m / k) - F.floor(i * m / k)).cast("int"))))).otherwise(
-            F.array().cast("array<int>"))
+    m, first, k = n - config.depth, config.depth + 1, config.parts
+    # A line of up to `parts` such tokens has a piece for each. The pieces' bounds in a longer one are written out: a lambda is interpreted.
+    cut = [F.floor(m * (i / k)).cast("int") if not k & (k - 1) else F.floor(i * m / F.lit(k)).cast("int") for i in range(k)] + [m]
+    return F.when(m <= 0, F.array().cast("array<int>")).when(
+        m <= k, F.transform(F.slice(tokens, first, F.greatest(m, F.lit(0))), lambda token: F.hash(token))).otherwise(
+            F.array(*[F.hash(F.slice(tokens, cut[i] + first, cut[i + 1] - cut[i])) for i in range(k)]))
 
 
 def parsed(docs: DataFrame, config: TemplateConfig = TemplateConfig()) -> DataFrame:
@@ -99,8 +100,9 @@ def parsed(docs: DataFrame, config: TemplateConfig = TemplateConfig()) -> DataFr
                        F.xxhash64("text").alias("body"), _even(F.col("text")).alias("even"))
     base = base.select("doc", "body", _masked(F.col("even")).alias("masked")).select(
         "doc", "body", F.explode(_lines(F.col("masked"))).alias("shape"))
-    sized = (base.where(F.col("shape") != "").withColumn("tokens", F.split("shape", " ", -1)).withColumn("n", F.size("tokens"))
-             .where(F.col("n") >= config.min_tokens))
+    # A filter on the tokens' number would split every line a second time.
+    long_ = base.where(F.col("shape").rlike(f"^(?:[^ ]+ ){{{config.min_tokens - 1}}}[^ ]"))
+    sized = long_.withColumn("tokens", F.split("shape", " ", -1)).withColumn("n", F.size("tokens"))
     return sized.select("doc", "body", line_id(F.col("shape")).alias("line"),
                         F.xxhash64("n", F.slice("tokens", 1, config.depth)).alias("leaf"), "n",
                         _parts(F.col("tokens"), F.col("n"), config).alias("parts"))

@@ -153,3 +153,19 @@ def test_query_is_consistent(spark, sf):
 def test_masking(spark, text, want):
     frame = spark.createDataFrame([(text,)], "text string").select(lt.masked_lines(lt.F.col("text")).alias("m"))
     assert frame.first().m == want
+
+
+def test_lines_are_split_once(spark):
+    """Short lines are left out before they are split, and every part has the hash of its tokens."""
+    lines = [" ".join(f"{'abcdefgh'[i % 8]}x" for i in range(n)) for n in (1, 2, 3, 4, 19, 20, 50)]
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    found = lt.parsed(docs)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(shape") == 1
+    wanted = {}
+    for n in (3, 4, 19, 20, 50):
+        k = min(n - 3, 16)
+        tokens = lines[(1, 2, 3, 4, 19, 20, 50).index(n)].split(" ")
+        wanted[n] = [tokens[3 + i * (n - 3) // k:3 + (i + 1) * (n - 3) // k] for i in range(k)]
+    pieces = spark.createDataFrame(list(wanted.items()), "n int, pieces array<array<string>>")
+    got = {r["n"]: r["parts"] for r in found.collect()}
+    assert got == {r["n"]: r["h"] for r in pieces.select("n", lt.F.transform("pieces", lambda p: lt.F.hash(p)).alias("h")).collect()}
