@@ -18,7 +18,7 @@ shuffle; its key is (language, phrase), so a hot word or language is summed on
 the way.
 
 The proposal goes to the tasks as a Bloom filter of `bits` bits, its size fixed
-whatever the data. A false positive counts one phrase more, exactly; it can't
+whatever the data; a phrase's bits lie in one word of it. A false positive counts one phrase more, exactly; it can't
 change a result. Where the proposal outgrows the filter, passes count more.
 
 Words: A-Z lowered, pieces cut at `[.,;:!?\\x0A-\\x0D]`, words are runs without
@@ -65,27 +65,27 @@ class MiningConfig:
 
 
 class Filter:
-    """A Bloom filter over 64-bit hashes, three bits each."""
+    """A Bloom filter over 64-bit hashes, three bits each in one word: a look-up reads one place."""
 
     def __init__(self, bits: int, words: np.ndarray | None = None):
         self.mask = np.uint64(bits - 1)
         self.words = np.zeros(bits // 64, np.uint64) if words is None else words
 
-    def _bits(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for k in range(3):
-            at = _mixed(hashes + np.uint64(k)) & self.mask
-            yield (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+    def _bits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The word of each hash and its bits there."""
+        h = _mixed(hashes)
+        bits = np.uint64(1) << (h >> np.uint64(58))
+        bits |= np.uint64(1) << (h >> np.uint64(52) & np.uint64(63))
+        bits |= np.uint64(1) << (h >> np.uint64(46) & np.uint64(63))
+        return ((h & self.mask) >> np.uint64(6)).astype(np.int64), bits
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        found = np.ones(len(hashes), bool)
-        for slot, bit in self._bits(hashes):
-            found &= (self.words[slot] & bit) != 0
-        return found
+        slots, bits = self._bits(hashes)
+        return (self.words[slots] & bits) == bits
 
     def set_bits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(slots, words) that hold the bits of `hashes`."""
-        pairs = list(self._bits(hashes))
-        slots, bits = (np.concatenate(x) for x in zip(*pairs))
+        slots, bits = self._bits(hashes)
         unique, at = np.unique(slots, return_inverse=True)
         words = np.zeros(len(unique), np.uint64)
         np.bitwise_or.at(words, at, bits)
@@ -163,7 +163,10 @@ def _grams(lang: str, words: list[bytes], ids: np.ndarray, longest: int, old: Fi
         n = len(parts_new)
         last = at[length - 1:length - 1 + n]
         hashed = _joined(hashed[:n], hashes[last])
-        if new is None:
+        if length == longest:
+            # Proposals are shorter: nothing asks whether the longest phrases are known.
+            new_here = np.zeros(n, bool)
+        elif new is None:
             new_here, old_here = parts_new, np.zeros(n, bool)
         else:
             new_here = parts_new.copy()
@@ -176,10 +179,15 @@ def _grams(lang: str, words: list[bytes], ids: np.ndarray, longest: int, old: Fi
             # Numbers of up to three words fit 64 bits: a run has at most FLUSH words and those of one text.
             key = np.stack([at[places + i] for i in range(length)], 1)
             flat = reduce(lambda a, i: a * size + key[:, i], range(1, length), key[:, 0])
-            order = np.argsort(flat, kind="stable") if size ** length < 2 ** 62 else np.lexsort(key.T[::-1])
-            key, known = key[order], new_here[places[order]]
-            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
-            yield key[first], length, known[first], np.diff(np.r_[first, len(key)])
+            if size ** length < 2 ** 62:
+                order = np.argsort(flat)
+                flat = flat[order]
+                first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+            else:
+                order = np.lexsort(key.T[::-1])
+                first = np.flatnonzero(np.r_[True, (key[order[1:]] != key[order[:-1]]).any(1)])
+            one = order[first]
+            yield key[one], length, new_here[places[one]], np.diff(np.r_[first, len(key)])
 
 
 def _flushed(runs: dict[str, _Run], longest: int, old: Filter | None, new: Filter | None) -> Iterator[pa.RecordBatch]:

@@ -107,6 +107,20 @@ def test_filter_has_what_it_was_given():
     assert f.has(some).all() and f.has(other).mean() < 0.01
 
 
+def test_longest_phrases_are_not_looked_up(monkeypatch):
+    """Proposals are shorter than the longest phrases: a pass asks for words and pairs only."""
+    words, ids, asked = [b"a", b"b", b"c"], np.array([0, 1, 2, 0, 1, 2, -1, 2, 1]), []
+    f = pm.Filter(1 << 16)
+    hashes = pm._word_hashes("x", words)
+    for found in (hashes, pm._joined(hashes[[0, 1, 2]], hashes[[1, 2, 0]])):
+        slots, bits = f.set_bits(found)
+        f.words[slots] |= bits
+    has = pm.Filter.has
+    monkeypatch.setattr(pm.Filter, "has", lambda self, h: asked.append(len(h)) or has(self, h))
+    got = {(tuple(k), n) for key, length, _, count in pm._grams("x", words, ids, 3, None, f) if length == 3 for k, n in zip(key.tolist(), count.tolist())}
+    assert len(asked) == 2 and got == {((0, 1, 2), 2), ((1, 2, 0), 1), ((2, 0, 1), 1)}
+
+
 def test_awkward_rows(awkward, nothing):
     config = pm.MiningConfig(least=2)
     docs = [(r.text, r.lang) for r in awkward.collect()]
