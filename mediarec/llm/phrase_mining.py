@@ -11,6 +11,9 @@
    the proposal, and a further full pass counts the phrases whose parts are
    proposed now and weren't before. Passes go on until none fails: one for words
    and one more per length, at most.
+4. Where fewer phrases failed than were proposed, that further pass is the last:
+   it takes the phrases it counts for proposed ones and so counts what they stand
+   in as well. Otherwise that would be too many, and lengths take a pass each.
 
 Every phrase is counted in one pass alone, by all its occurrences, so counts are
 exact whatever the sample was. Tasks sum up runs of `FLUSH` words before the
@@ -136,11 +139,12 @@ class _Run:
         return list(self.vocabulary)[2:], ids
 
 
-def _grams(lang: str, words: list[bytes], ids: np.ndarray, longest: int, old: Filter | None, new: Filter | None) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+def _grams(lang: str, words: list[bytes], ids: np.ndarray, longest: int, old: Filter | None, new: Filter | None,
+           ahead: bool = False) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
     """(word numbers of each distinct phrase, its length, known, occurrences) that this pass counts.
 
     A phrase is counted when its parts are in `new` and not all in `old`.
-    Without `new` (in the sample) all are.
+    Without `new` (in the sample) all are. `ahead`: what is counted passes for one of `new`.
     """
     size = len(words)
     if not size:
@@ -171,6 +175,8 @@ def _grams(lang: str, words: list[bytes], ids: np.ndarray, longest: int, old: Fi
         else:
             new_here = parts_new.copy()
             new_here[parts_new] = new.has(hashed[parts_new])
+            if ahead:
+                new_here |= counted
             old_here = old_here[:-1] & old_here[1:]
             if old is not None:
                 old_here[old_here] = old.has(hashed[old_here])
@@ -190,12 +196,12 @@ def _grams(lang: str, words: list[bytes], ids: np.ndarray, longest: int, old: Fi
             yield key[one], length, new_here[places[one]], np.diff(np.r_[first, len(key)])
 
 
-def _flushed(runs: dict[str, _Run], longest: int, old: Filter | None, new: Filter | None) -> Iterator[pa.RecordBatch]:
+def _flushed(runs: dict[str, _Run], longest: int, old: Filter | None, new: Filter | None, ahead: bool) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in _FIELDS.split(", ")]
     for lang, run in runs.items():
         words, ids = run.words()
         written = pa.array(words, pa.binary()).cast(pa.string())
-        for key, length, known, n in _grams(lang, words, ids, longest, old, new):
+        for key, length, known, n in _grams(lang, words, ids, longest, old, new, ahead):
             phrase = pc.binary_join_element_wise(*[written.take(pa.array(key[:, i])) for i in range(length)], " ") if length > 1 else written.take(pa.array(key[:, 0]))
             for lo in range(0, len(n), 100_000):
                 part = phrase.slice(lo, 100_000)
@@ -207,7 +213,7 @@ def _flushed(runs: dict[str, _Run], longest: int, old: Filter | None, new: Filte
                                               pa.array([int((ids >= 0).sum())], pa.int64())], names=names)
 
 
-def _counting(longest: int, old, new, flush: int):
+def _counting(longest: int, old, new, flush: int, ahead: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = [None if x is None else Filter(*x.value) for x in (old, new)]
         runs: dict[str, _Run] = {}
@@ -216,15 +222,15 @@ def _counting(longest: int, old, new, flush: int):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())):
                 held += runs.setdefault(lang, _Run()).add(text.as_py())
                 if held >= flush:
-                    yield from _flushed(runs, longest, *filters)
+                    yield from _flushed(runs, longest, *filters, ahead)
                     runs, held = {}, 0
-        yield from _flushed(runs, longest, *filters)
+        yield from _flushed(runs, longest, *filters, ahead)
     return run
 
 
-def _counted(docs: DataFrame, longest: int, least: int, old, new, flush: int) -> DataFrame:
+def _counted(docs: DataFrame, longest: int, least: int, old, new, flush: int, ahead: bool = False) -> DataFrame:
     """Phrases this pass counts that occur `least` times, and the words of each language; staged."""
-    partial = docs.mapInArrow(_counting(longest, old, new, flush), _FIELDS)
+    partial = docs.mapInArrow(_counting(longest, old, new, flush, ahead), _FIELDS)
     # Tasks have summed up their runs, so sums wait for the shuffle. `known` follows from the phrase: it is the same in all tasks.
     return stage(partial.repartition("lang", "phrase").groupBy("lang", "phrase", "size", "known").agg(F.sum("n").alias("n"))
                  .where((F.col("n") >= least) | (F.col("size") == 0)), "phrases")
@@ -258,19 +264,22 @@ def frequent_phrases(docs: DataFrame, config: MiningConfig = MiningConfig(), flu
     sampled = F.pmod(F.xxhash64("doc_id", "text"), F.lit(config.sample)) == 0
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
     sample = _counted(texts.where(sampled).select("lang", "text"), config.longest - 1, config.lowered, None, None, flush)
-    words = _added(Filter(config.bits).words, config.bits, sample.where("size > 0"))
-    old, passes, tables = None, 0, []
+    proposed = sample.where("size > 0")
+    size, words = proposed.count(), _added(Filter(config.bits).words, config.bits, proposed)
+    old, passes, ahead, tables = None, 0, False, []
     while True:
         new = spark.sparkContext.broadcast((config.bits, words))
-        counted = _counted(texts.select("lang", "text"), config.longest, config.least, old, new, flush)
+        counted = _counted(texts.select("lang", "text"), config.longest, config.least, old, new, flush, ahead)
         if old is not None:
             old.unpersist()
         tables.append(counted.drop("known"))
         passes += 1
         failed = counted.where(~F.col("known") & (F.col("size") < config.longest))
-        if failed.isEmpty():
+        failures = failed.count()
+        if not failures:
             new.unpersist()
             return reduce(DataFrame.unionByName, tables), passes
+        ahead, size = failures < size, size + failures
         words, old = _added(words, config.bits, failed), new
 
 

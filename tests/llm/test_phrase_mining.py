@@ -89,6 +89,20 @@ def test_failures_of_the_border_make_further_passes(texts):
     assert len(rows) == len(want) and set(rows) == want  # each phrase in one pass alone
 
 
+def test_few_failures_take_one_further_pass(spark):
+    """A pair and a triple of a word that the sample misses are counted in the pass that meets the word's pairs."""
+    common = [(i, f"a b c d e f{i % 3} g h i j", "x") for i in range(400)]
+    rare = spark.createDataFrame([(i, "a rare b c", "x") for i in range(400, 500)], "doc_id long, text string, lang string")
+    # Rows outside the sample, so that `rare` isn't proposed.
+    rare = [tuple(r) for r in rare.where("pmod(xxhash64(doc_id, text), 8) != 0").limit(30).collect()]
+    docs = common + rare
+    tables, passes = pm.frequent_phrases(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    rows = [tuple(r) for r in tables.where("size > 0").collect()]
+    want = {(lang, p, len(p.split(" ")), n) for lang, (_, f) in counted([d[1:] for d in docs]).items() for p, n in f.items() if n >= 10}
+    assert passes == 2 and len(rows) == len(want) and set(rows) == want
+    assert {("x", "a rare", 2, 30), ("x", "rare b", 2, 30), ("x", "a rare b", 3, 30), ("x", "rare b c", 3, 30)} < want
+
+
 def test_arithmetic_is_exact(spark, monkeypatch):
     counts = [("x", "a", 1, 999_999_999_999_989), ("x", "b", 1, 999_999_999_999_877), ("x", "a b", 2, 999_999_999_999_863),
               ("x", "b a", 2, 123_456_789_012_345), ("x", "", 0, 10 ** 16)]
