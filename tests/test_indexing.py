@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from frames import rows
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 
 from mediarec.config import AlsConfig
 from mediarec.operators import factorization, half_steps, indexing
+from mediarec.operators.staging import stage, stage_root
 from mediarec.plans.factorize import factorize, factorize_counts, factorize_splits
 
 
@@ -170,6 +173,46 @@ def test_steps_shuffle_nothing(spark):
     assert sum(len(r["dst"]) // 4 for r in rows if r["y"] is None) == 200
 
 
+def test_few_factor_tables_at_a_time(spark, monkeypatch):
+    """A step finds the vectors it reads and, for the users, those they replace; neither MLlib's model nor earlier items."""
+    df = spark.createDataFrame([(u, i, 1.0) for u in range(30) for i in range(u % 4 + 1)], "userId int, mediaId int, score float")
+    root, solve, seen = Path(stage_root(spark), "mediarec", spark.sparkContext.applicationId), factorization.solve_side, []
+    kinds = ("factors-*", "als-*/*Factors")
+    before = {p for kind in kinds for p in root.glob(kind)}
+
+    def counting(*args):
+        seen.append(len({p for kind in kinds for p in root.glob(kind)} - before))
+        return solve(*args)
+
+    monkeypatch.setattr(factorization, "solve_side", counting)
+    model = factorization.fit_als(df, AlsConfig(rank=3, max_iter=3, blocks=2, implicit=False))
+    assert seen == [1, 2] * 3 and model.userFactors.count() == 30 and model.itemFactors.count() == 4
+    assert len({p for kind in kinds for p in root.glob(kind)} - before) == 2
+
+
+def test_a_rating_of_every_id_starts_the_same(spark):
+    df = spark.createDataFrame([(u, i * 7, float(u - i)) for u in range(200) for i in range(u % 9 + 1)], "u int, i int, r float")
+    few = factorization._one_of_each(df, "u", "i", "r")
+    assert few.count() <= 200 + 9 < df.count()
+    for implicit in (True, False):
+        als = ALS(rank=4, maxIter=0, implicitPrefs=implicit, numUserBlocks=3, numItemBlocks=3, seed=1, userCol="u", itemCol="i", ratingCol="r")
+        for side in ("userFactors", "itemFactors"):
+            whole, part = ({r["id"]: list(r["features"]) for r in getattr(als.fit(x), side).collect()} for x in (df, few))
+            assert whole == part and len(whole) == (200 if side == "userFactors" else 9)
+
+
+def test_own_vectors_are_read_where_they_are(spark, monkeypatch):
+    """The residual of a side copies neither its ratings' other side twice nor its own vectors."""
+    df = spark.createDataFrame([(u, i, float(u % 3 + i)) for u in range(30) for i in range(u % 4 + 1)], "userId int, mediaId int, score float")
+    cfg, staged = AlsConfig(rank=3, max_iter=2, blocks=2, implicit=False), []
+    model = factorization.fit_als(df, cfg)
+    for module in (factorization, half_steps):
+        monkeypatch.setattr(module, "stage", lambda rows, name, *by: staged.append(name) or stage(rows, name, *by))
+    found = factorization.normal_residual(model, df, cfg)
+    assert found.count() == 30 and found.where("residual > 1e-3").count() == 0
+    assert sorted(staged) == ["factors", "links", "residuals"]
+
+
 def test_published_settings():
     a, b = AlsConfig.implicit_feedback(), AlsConfig.explicit_feedback()
     assert (a.rank, a.max_iter, a.reg, a.blocks, a.implicit) == (128, 15, 0.1, 128, True)
