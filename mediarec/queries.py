@@ -14,7 +14,7 @@ from mediarec.functions.text import clean_text, item_text
 from mediarec.functions.vectors import concat_modalities, cosine, l2_normalize, parse_floats
 from mediarec.operators import (
     degrees, exports, factorization, features, filters, fusion, indexing, metadata, ranking, retrieval, splitting)
-from mediarec.operators.staging import fresh_path, stage
+from mediarec.operators.staging import drop_table, fresh_path, stage
 from mediarec.plans import evaluate as evaluate_plan, factorize as factorize_plan, prepare as prepare_plan
 from mediarec.sources import readers, sinks
 from mediarec.sources.listing import file_inventory
@@ -434,14 +434,18 @@ def als_explicit_residual(spark, sf):
 def als_saved(spark, sf):
     """A model written and loaded: sizes, and whether factors are the same, of every user and item."""
     index = indexing.build_index(X.counts(spark, sf), "track_id")
-    model, _, _ = factorize_plan.factorize_counts(X.counts(spark, sf), index, EXPLICIT)
+    model, ratings, _ = factorize_plan.factorize_counts(X.counts(spark, sf), index, EXPLICIT)
+    drop_table(ratings)
     path = fresh_path(spark, "als-model")
     sinks.save_als(model, path)
     back = sinks.load_als(path)
     parts = []
+    # Whole vectors are compared by digests of all their numbers; they aren't shuffled for it.
+    digest = F.unhex(F.sha2(F.col("features").cast("string"), 256))
     for side, ours, theirs in (("user", model.userFactors, back.userFactors), ("item", model.itemFactors, back.itemFactors)):
-        both = ours.join(theirs.select("id", F.col("features").alias("again")), "id", "full")
-        parts.append(both.select(F.lit(side).alias("side"), "id", F.size("features").cast("long").alias("n"), (F.col("features") == F.col("again")).alias("same")))
+        both = ours.select("id", F.size("features").cast("long").alias("n"), digest.alias("first")).join(
+            theirs.select("id", digest.alias("again")), "id", "full")
+        parts.append(both.select(F.lit(side).alias("side"), "id", "n", (F.col("first") == F.col("again")).alias("same")))
     return _flat(parts[0].unionByName(parts[1]))
 
 

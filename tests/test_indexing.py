@@ -1,3 +1,4 @@
+import re
 from pathlib import Path
 
 import numpy as np
@@ -6,6 +7,7 @@ from frames import rows
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import functions as F
 
+from mediarec import queries
 from mediarec.config import AlsConfig
 from mediarec.operators import factorization, half_steps, indexing
 from mediarec.operators.staging import stage, stage_root
@@ -213,6 +215,17 @@ def test_own_vectors_are_read_where_they_are(spark, monkeypatch):
     assert sorted(staged) == ["factors", "links", "residuals"]
 
 
+def test_saved_vectors_are_not_shuffled(spark, sf, monkeypatch):
+    """A saved model is compared whole, without its vectors in shuffle files."""
+    monkeypatch.setattr(queries, "EXPLICIT", AlsConfig.explicit_feedback(rank=4, max_iter=1, blocks=2))
+    df = queries.als_saved(spark, sf)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    sides = re.findall(r"Join FullOuter.*\n[ :+-]*(.*)\n", plan)
+    assert len(sides) == 2 and all(side.startswith("Project") and "sha2" in side for side in sides)
+    got = df.collect()
+    assert got and all(r["same"] and r["n"] == 4 for r in got)
+
+
 def test_published_settings():
     a, b = AlsConfig.implicit_feedback(), AlsConfig.explicit_feedback()
     assert (a.rank, a.max_iter, a.reg, a.blocks, a.implicit) == (128, 15, 0.1, 128, True)
